@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import digests
 from .common import table
 from .decontam import report
 from .exact import duplicates
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the public tokenizers that are installed beside Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(docs, tokenizer_file()).select("_row.doc_id", "bpe.*")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +36,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
