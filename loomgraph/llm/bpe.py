@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text whose words are encoded together; a longer text is a group of its own.
 GROUP_CHARS = 4 << 20
@@ -249,7 +250,7 @@ def _run(docs: DataFrame, text_col: str, vocabulary: str, fields: str, make) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), struct], names=["_row", "bpe"])
 
     kinds = {"n_tokens": pa.int64()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if "ids " in fields else {"ids_sha256": pa.string(), "decoded_sha256": pa.string()})
-    schema = packed.select("_row").schema.add("bpe", f"struct<{fields}>")
+    schema = packed.select("_row").schema.add("bpe", T.StructType.fromDDL(fields))
     return packed.mapInArrow(run, schema)
 
 
