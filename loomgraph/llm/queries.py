@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .bpe import digests
-from .common import table
+from .common import held_out, table
 from .decontam import report
 from .exact import duplicates
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out("doc_id")))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select(
+        "_row.doc_id", held_out("_row.doc_id").alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", "found.languages", "found.shares"
+    )
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text and label of the documents to learn from: labelled and not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id") & F.col(label).isNotNull()).select("doc_id", label)
+    return table(spark, sf_dir, "documents").where(~held_out("doc_id")).select("doc_id", "text").join(labels, "doc_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """A vocabulary file of the public tokenizers that are installed beside Python."""
     import public_tokenizers
@@ -36,6 +58,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
