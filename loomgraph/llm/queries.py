@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, quality, toxicity
 from .bpe import digests
 from .common import held_out, table
 from .decontam import report
@@ -57,12 +57,19 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(labelled(spark, sf_dir, "quality"))
+    out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
