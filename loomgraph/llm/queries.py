@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, quality, toxicity, warc
 from .bpe import digests
 from .common import held_out, table
 from .decontam import report
@@ -62,6 +62,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(labelled(spark, sf_dir, "quality"))
     out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_warc": op8_warc,
     "op10_quality": op10_quality,
 }
 
@@ -100,4 +106,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM g""",
 }
