@@ -13,6 +13,7 @@ from .common import held_out, table
 from .decontam import report
 from .exact import duplicates
 from .minhash import near_duplicates
+from .repeats import remove_repeats
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+    return out.select("_row.doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(labelled(spark, sf_dir, "quality"))
     out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_warc": op8_warc,
+    "op9_repeats": op9_repeats,
     "op10_quality": op10_quality,
 }
 
