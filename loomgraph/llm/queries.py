@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity, warc
+from . import langid, licenses, quality, toxicity, warc
 from .bpe import digests
 from .common import held_out, table
 from .decontam import report
@@ -37,6 +37,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: most lie in source/lang/block, some further up; one whose last line is a notice speaks for its directory."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    folder = F.when(i % 50 == 0, F.array("source")).when(i % 10 == 0, F.array("source", "lang")).otherwise(F.array("source", "lang", F.floor(i / 1000).cast("string")))
+    files = docs.select("doc_id", "text", F.array_join(F.concat(folder, F.array(i.cast("string"))), "/").alias("path"))
+    notice = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), -1)).rlike("licen[cs]e")
+    return licenses.scan(files, "doc_id", "path", "text", notice)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,6 +92,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_minhash": op4_minhash,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
