@@ -25,6 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def to_learn_from(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and labels without the rows that are held out."""
+    docs, labels = (table(spark, sf_dir, t).where(~held_out("doc_id")) for t in ("documents", "labels"))
+    return docs.select("doc_id", "text"), labels
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """doc_id, text and label of the documents to learn from: labelled and not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id") & F.col(label).isNotNull()).select("doc_id", label)
@@ -32,7 +38,7 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    model = toxicity.fit(*to_learn_from(spark, sf_dir))
     out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

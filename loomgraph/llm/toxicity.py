@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, mixed, points, sample_by_label
+from .common import STEP, cut, mixed, points, sample_by_label, small_side
 
 BUCKETS = 1 << 20
 SIZES = (4, 5, 6)
@@ -83,15 +83,19 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds
     return x[:-1], float(x[-1])
 
 
-def fit(labelled: DataFrame, label: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """labelled: the rows to learn from, with doc_id and a label of 0 or 1."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
+    """Learns from docs (doc_id and text) that `labels` (doc_id and a label of 0 or 1) names.
+
+    The sample is drawn from the labels alone, so that only its ids meet the texts.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     prior = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     share = prior.get(1, 0) / max(1, sum(prior.values()))
     index = np.full(BUCKETS, -1, np.int32)
     if len(prior) < 2:
         return Model(index, np.zeros(1), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
-    sample = sample_by_label(rows, label, per_class).select(F.col(label).cast("int").alias("y"), F.col(text_col).alias("t"))
+    drawn = cut(sample_by_label(rows, label, per_class).select("doc_id", F.col(label).cast("int").alias("y")))
+    sample = docs.join(small_side(drawn, drawn.count()), "doc_id").select("y", F.col(text_col).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int32)
@@ -104,14 +108,14 @@ def fit(labelled: DataFrame, label: str = "toxic", text_col: str = "text", per_c
         yield pa.RecordBatch.from_pydict({"g": pa.array(at), "a": pa.array(sums[0, at]), "b": pa.array(sums[1, at])})
 
     sums = sample.mapInArrow(count, "g int, a int, b int").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    sizes = {r[0]: r[1] for r in drawn.groupBy("y").count().collect()}
     n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
     a, b = F.col("a") + SMOOTH, F.col("b") + SMOOTH
     ratio = F.log(b / F.lit(n1 + 2 * SMOOTH)) - F.log(a / F.lit(n0 + 2 * SMOOTH))
     z = ratio / F.sqrt(1 / a + 1 / b)
     best = sums.select("g", ratio.alias("r"), F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "g").limit(FEATURES).toPandas()
     index[best["g"].to_numpy(np.int64)] = np.arange(len(best), dtype=np.int32)
-    shared = labelled.sparkSession.sparkContext.broadcast(Model(index, np.zeros(max(1, len(best))), 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(index, np.zeros(max(1, len(best))), 0.0))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
