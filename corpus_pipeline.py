@@ -1,3 +1,66 @@
-"""placeholder"""
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus pipeline: toxicity, exact dedup, near dedup, benchmark decontamination, BPE.
+
+Each stage works on all that the stage before kept, and each is written and read again before the next one.
+Scratch goes to the folder that spark.checkpoint.dir names.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import bpe, decontam, exact, minhash, toxicity
+from loomgraph.llm.common import held_out, scratch, table
+from loomgraph.llm.queries import tokenizer_file
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; learned from the labels of documents that are not held out."""
+    learn = docs.where(~held_out("doc_id")).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return toxicity.drop_toxic(docs, toxicity.fit(learn, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest stays, then the smallest doc_id."""
+    return exact.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by near copies, the one with the smallest doc_id stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.drop_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the SHA-256 of the text that the ids decode to."""
+    out = bpe.encode(docs.select("doc_id", "text", "lang", "source"), tokenizer_file())
+    return out.select("_row.doc_id", "_row.lang", "_row.source", "bpe.n_tokens", "bpe.ids", F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: A trained classifier and BPE are beyond SQL; tests/llm holds the stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; the last one is left to whoever reads the result."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
