@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_label
+from .common import cut, sample_by_label, small_side
 
 DICT_BYTES = 110 << 10
 PER_CLASS = 1500
@@ -83,18 +83,21 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[-DICT_BYTES:]
 
 
-def fit(labelled: DataFrame, label: str = "quality", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """labelled: the rows to learn from, with doc_id and a label of 0 or 1."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
+    """Learns from docs (doc_id and text) that `labels` (doc_id and a label of 0 or 1) names.
+
+    The sample is drawn from the labels alone, so that only its ids meet the texts.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     prior = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     share = prior.get(1, 0) / max(1, sum(prior.values()))
     flat = Model(b"", b"", 0.0, float(np.log((share + 1e-12) / (1 - share + 1e-12))))
     if len(prior) < 2:
         return flat
+    drawn = cut(sample_by_label(rows, label, per_class).select("doc_id", F.col(label).cast("int").alias("y")))
     text = F.coalesce(text_col, F.lit(""))
-    sample = sample_by_label(rows.where(F.length(text) <= LONGEST), label, per_class)
     half = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(2))
-    sample = sample.select(F.col(label).cast("int").alias("y"), text.alias("t"), half.alias("half"))
+    sample = docs.where(F.length(text) <= LONGEST).join(small_side(drawn, drawn.count()), "doc_id").select("y", text.alias("t"), half.alias("half"))
     parts: dict[int, list[str]] = {0: [], 1: []}
     for y, t in sample.where("half = 0 and t != ''").select("y", "t").distinct().orderBy("y", "t").collect():
         parts[y].append(t)

@@ -31,12 +31,6 @@ def to_learn_from(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return docs.select("doc_id", "text"), labels
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text and label of the documents to learn from: labelled and not held out."""
-    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id") & F.col(label).isNotNull()).select("doc_id", label)
-    return table(spark, sf_dir, "documents").where(~held_out("doc_id")).select("doc_id", "text").join(labels, "doc_id")
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(*to_learn_from(spark, sf_dir))
     out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -90,7 +84,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit(labelled(spark, sf_dir, "quality"))
+    model = quality.fit(*to_learn_from(spark, sf_dir))
     out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
