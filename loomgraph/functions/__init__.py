@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""Column functions and the relation vocabulary."""

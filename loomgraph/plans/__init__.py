@@ -1,5 +1,7 @@
 """The registered queries over the driver's tables and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import evidence, graph, scalars, texts
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = graph.FLAGSHIP
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evidence", "graph", "scalars", "texts"]

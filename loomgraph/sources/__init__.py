@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""Reading and writing observations, worlds, sources and pages."""
