@@ -1 +1,146 @@
-"""Queries."""
+"""Queries on sources, pages, sessions and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import sessions as D
+from ..scratch import checkpointed
+from ..sources import tables as B
+from ..sources import texts as T
+from ..streaming import streams as I
+from .registry import Inputs, query
+
+SOURCE = """src AS (SELECT DISTINCT substr(sha256(trim(lang) || chr(10) || trim(source) || chr(10) || text), 1, 16) AS id, sha256(text) AS content_hash, source, lang AS task, text FROM documents)"""
+
+
+def _sources(t: Inputs):
+    return T.record_sources(t.documents.select(F.col("text").alias("raw_text"), "source", F.col("lang").alias("task")))
+
+
+@query("a04_record_sources", f"WITH {SOURCE} SELECT id, content_hash, source, task FROM src")
+def record(t: Inputs):
+    return _sources(t).select("id", "content_hash", "source", "task")
+
+
+@query("a05_attach_extraction", f"WITH {SOURCE} SELECT id, CASE WHEN source = 'src0' THEN NULL ELSE [task, source] END AS concepts, CASE WHEN source = 'src0' THEN NULL ELSE 2 END AS relation_count FROM src")
+def attach(t: Inputs):
+    s = _sources(t)
+    obs = s.where("source <> 'src0'").select(F.col("id").alias("source_id"), F.array("task", "source", F.lit(" "), "task").alias("concepts"), F.array(F.lit(1), F.lit(2)).alias("relations"))
+    return T.attach_extraction(s, obs).select("id", "concepts", "relation_count")
+
+
+TOKENS = r"tok AS (SELECT DISTINCT id, w AS token FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM src) WHERE len(w) >= 2)"
+
+
+@query("a06_build_source_index", f"WITH {SOURCE}, {TOKENS} SELECT token, count(*) AS sources FROM tok GROUP BY 1")
+def index(t: Inputs):
+    return T.build_source_index(_sources(t)).groupBy("token").agg(F.count("*").alias("sources"))
+
+
+@query("a07_search_sources", f"""WITH {SOURCE}, {TOKENS}, q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: len(x) >= 2))) AS token FROM benchmark),
+    s AS (SELECT query_id, id, count(*) AS score FROM q JOIN tok USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 10""")
+def search(t: Inputs):
+    s = _sources(t)
+    return T.search_sources(T.build_source_index(s), s, t.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", "rank", "id", "score")
+
+
+@query("a09_extract_page_text")
+def page_text(t: Inputs):
+    return T.extract_page_text(t.pages)
+
+
+@query("a10_extract_links")
+def links(t: Inputs):
+    return T.extract_links(t.pages)
+
+
+@query("a11_filter_by_domain", r"SELECT page_id FROM pages WHERE regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:]*)', 1) IN (SELECT DISTINCT regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:]*)', 1) FROM pages WHERE url LIKE 'https%')")
+def by_domain(t: Inputs):
+    return T.filter_by_domain(t.pages, t.pages.where("url like 'https%'").select(F.col("url").alias("domain"))).select("page_id")
+
+
+@query("a12_observations_from_responses", "SELECT event_id AS obs_id, 'u' || user_id AS source, event_type AS target, 'related_to' AS label, false AS dropped FROM events")
+def responses(t: Inputs):
+    e = t.events
+    raw = F.format_string('Here: ```json\n{"concepts": ["%s", {"name": "u%s", "uid": "x1", "kind": "user"}], "relations": [["X1", "%s"]]}\n```', "event_type", F.col("user_id").cast("string"), "event_type")
+    _, rel = T.observations_from_responses(e.select(F.col("event_id").alias("obs_id"), raw.alias("raw")))
+    return rel
+
+
+@query("a13_split_texts", r"SELECT doc_id, 'batch_' || i AS source, md5(x) AS chunk FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents))")
+def split(t: Inputs):
+    return T.split_texts(t.documents.select("doc_id", "text"), sep="\n").select("doc_id", "source", F.md5("chunk").alias("chunk"))
+
+
+@query("a02_world_snapshot", "SELECT id, confidence, maturity, domain FROM {concepts}")
+def snapshot(t: Inputs):
+    checkpointed(t.spark)
+    at = f"{t.spark.sparkContext.getCheckpointDir()}/world-{uuid.uuid4().hex}"
+    B.write_world({"concepts": t.concepts.withColumn("space_id", F.lit("main"))}, at, 1)
+    return B.read_world(t.spark, at, ["concepts"], 1)["concepts"].select("id", "confidence", "maturity", "domain")
+
+
+@query("a01_read_observations", "SELECT obs_id::VARCHAR AS obs_id, task, '' AS domain, count(*) AS n FROM {mentions} GROUP BY 1, 2")
+def observations(t: Inputs):
+    checkpointed(t.spark)
+    at = f"{t.spark.sparkContext.getCheckpointDir()}/observations-{uuid.uuid4().hex}"
+    t.mentions.groupBy(F.col("obs_id").cast("string").alias("obs_id"), "ts", "task").agg(F.collect_list("concept").alias("concepts")).write.json(at)
+    return B.read_observations(t.spark, at).select("obs_id", "task", "domain", F.size("concepts").cast("long").alias("n"))
+
+
+@query("a08_export_graph", """SELECT id, count(*) AS degree, round(min(confidence), 3) AS confidence, min(domain) AS domain FROM (SELECT unnest([source_id, target_id]) AS id FROM {edges}) JOIN {concepts} USING (id) GROUP BY 1""")
+def export(t: Inputs):
+    from ..operators.lifecycle import degree
+
+    return degree(t.edges).join(t.concepts, "id").select("id", "degree", F.round("confidence", 3).alias("confidence"), "domain")
+
+
+@query("e07_needs_compaction", "SELECT conv_id, count(*) AS n, count(*) > 6 AND greatest(0, count(*) - 3) >= 2 AS needed FROM conversations GROUP BY 1")
+def needs(t: Inputs):
+    return D.needs_compaction(t.conversations, threshold=6, preserve=3, min_new=2)
+
+
+@query("e06_session_context", "SELECT conv_id, turn AS pos, role, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 AND role IN ('user', 'assistant', 'system')")
+def context(t: Inputs):
+    return D.session_context(t.conversations, most=4)
+
+
+@query("e08_compact_sessions")
+def compact(t: Inputs):
+    return D.compact_sessions(t.conversations)
+
+
+@query("e09_list_sessions", "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'user' THEN 'attention_needed' ELSE 'active' END AS state FROM conversations GROUP BY 1 ORDER BY n DESC, conv_id LIMIT 20")
+def listing(t: Inputs):
+    return D.list_sessions(t.conversations)
+
+
+@query("e10_batch_turns", r"""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS batch FROM p WHERE role = 'user' AND r2 = 'assistant')
+    SELECT conv_id, batch, count(*) AS turns FROM t GROUP BY 1, 2 HAVING count(*) = 2""")
+def batches(t: Inputs):
+    return D.batch_turns(t.conversations, 2).select("conv_id", "batch", "turns")
+
+
+@query("j06_lexical_recall")
+def recall(t: Inputs):
+    turns = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), F.col("turn").alias("idx"), "text")
+    return D.lexical_recall(turns, t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query("i05_activity_windows", "SELECT concept, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM {evidence} GROUP BY 1, 2")
+def activity(t: Inputs):
+    return I.activity(t.evidence).select("concept", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query("i01_stream_evidence", "SELECT concept, count(*) FILTER (kind = 'activate') AS activation_count, count(*) FILTER (kind = 'weaken') AS disconfirmation_count FROM {evidence} GROUP BY 1")
+def stream(t: Inputs):
+    """The events table as a stream: micro-batches fold into a table of counts that is written anew with each batch."""
+    return I.stream_counts(t.spark, t.sf_dir, checkpointed(t.spark))
+
+
+@query("i04_stream_sources", f"WITH {SOURCE} SELECT id FROM src")
+def stream_sources(t: Inputs):
+    return I.stream_sources(t.spark, t.sf_dir, checkpointed(t.spark))

@@ -1 +1 @@
-"""Part of the engine; see the modules."""
+"""Structured Streaming forms of the incremental operators."""
