@@ -234,15 +234,18 @@ def link_pairs(docs: DataFrame, classes: DataFrame, text_col: str, threshold: in
     inside = sets.join(ids, "id").select("id", F.size("set").alias("size"), F.explode("set").alias("h"))
     shared = inside.select("id", "h").join(inside.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h", "left_semi")
     shared = shared.groupBy("id").agg(F.count("*").alias("most"))  # no partner has more of its shingles in common
-    rest = rest.join(shared, "id").withColumn("least", F.min("n").over(Window.partitionBy("key")))
+    smallest = rest.groupBy("key").agg(F.min("n").alias("k")).join(rest.select("key", "id"), "key").groupBy("id").agg(F.min("k").alias("least"))
+    bands = classes.select("id", "bands")
+    rest = rest.join(shared, "id").join(smallest, "id").join(bands, "id")
     possible = _near(F.col("most"), F.col("n"), F.greatest("least", "most"), threshold)
     rest = cut(_unsettled(rest.where(possible).drop("label", "least"), labels))
     x, y = rest.alias("x"), rest.alias("y")
     most = F.least("x.most", "y.most", "x.n", "y.n")
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # of the buckets that two share, one
     open_pairs = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & _near(most, F.col("x.n"), F.col("y.n"), threshold),
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & _near(most, F.col("x.n"), F.col("y.n"), threshold) & once,
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = cut(_measured(open_pairs, sets)).where(near).select("a", "b")
     return links.union(more)
