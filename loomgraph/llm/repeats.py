@@ -304,7 +304,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     found = cut(repeated_spans(docs, text_col, least, hot))
     k1, k2 = text_key(docs[text_col])
     packed = docs.select(docs[text_col].alias("_t"), k1.alias("k1"), k2.alias("k2"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("_row"))
-    joined = packed.join(small_side(found, found.count()), ["k1", "k2"], "left").select("_t", "spans", "_row")
+    size = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first().n  # bounds the bytes as well as the rows
+    joined = packed.join(small_side(found, size), ["k1", "k2"], "left").select("_t", "spans", "_row")
     ddl = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<from:bigint,to:bigint>>" + ", kept binary" * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
