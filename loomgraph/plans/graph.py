@@ -187,9 +187,9 @@ def from_communities(t: Inputs):
 @query("f16_fade", f"""WITH {COUPLE}, l AS (SELECT a, b, sum(w) AS w FROM (SELECT source_id AS a, target_id AS b, w FROM c UNION ALL SELECT target_id, source_id, w FROM c) GROUP BY 1, 2),
     o AS (SELECT k.id, k.label, k.strength, coalesce((SELECT sum(l.w * n.strength) FROM l JOIN {{colors}} n ON n.id = l.b AND n.label = k.label WHERE l.a = k.id) / (SELECT sum(l.w) FROM l WHERE l.a = k.id), 0) AS q FROM {{colors}} k),
     r AS (SELECT id, median(q) AS ref FROM o GROUP BY 1)
-    SELECT id, label, round(s, 4) AS strength FROM (SELECT o.id, o.label, o.strength * (1 - CASE WHEN ref <= 0 THEN 2e-2 ELSE greatest(2e-2, greatest(0, 1 - q / ref) / 4) END) AS s FROM o JOIN r ON r.id = o.id) WHERE s >= 15e-3""")
+    SELECT id, label, round(s, 5) AS strength FROM (SELECT o.id, o.label, o.strength * (1 - CASE WHEN ref <= 0 THEN 2e-2 ELSE greatest(2e-2, greatest(0, 1 - q / ref) / 4) END) AS s FROM o JOIN r ON r.id = o.id) WHERE s >= 15e-3""")
 def fade(t: Inputs):
-    return K.fade(t.colors, t.edges).withColumn("strength", F.round("strength", 4))
+    return K.fade(t.colors, t.edges).withColumn("strength", F.round("strength", 5))
 
 
 MASS = f"m AS (SELECT source_id, target_id, axis, greatest(0, probability) * {FACTOR} * CASE WHEN is_explicit THEN 1e0 ELSE 75e-2 END AS mass FROM {{edges}})"
