@@ -5,13 +5,18 @@ messages: conv_id, turn, role, text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STOPWORDS, excerpt, keyword_seeds
 
-WINDOW = Window.partitionBy("conv_id").orderBy("turn")
-NEWEST = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def newest_first() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy(F.desc("turn"))
 
 
 def needs_compaction(messages: DataFrame, threshold: int = 48, preserve: int = 16, min_new: int = 12) -> DataFrame:
@@ -22,7 +27,7 @@ def needs_compaction(messages: DataFrame, threshold: int = 48, preserve: int = 1
 
 def compact_sessions(messages: DataFrame, keep: int = 3, k: int = 6) -> DataFrame:
     """(conv_id, goals, outcome, seeds, covered): a summary without a model: last questions, last answer, key words."""
-    user = messages.where("role = 'user'").withColumn("r", F.row_number().over(NEWEST))
+    user = messages.where("role = 'user'").withColumn("r", F.row_number().over(newest_first()))
     goals = user.where(F.col("r") <= keep).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", excerpt(F.col("text"), 120).alias("t")))), lambda x: x["t"]).alias("goals"))
     words = user.where("r <= 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", keyword_seeds(F.col("text"), 5).alias("w")))).alias("w"))
     seeds = words.select("conv_id", F.slice(F.array_distinct(F.flatten(F.transform("w", lambda x: x["w"]))), 1, k).alias("seeds"))
@@ -33,7 +38,7 @@ def compact_sessions(messages: DataFrame, keep: int = 3, k: int = 6) -> DataFram
 
 def session_context(messages: DataFrame, summaries: DataFrame | None = None, most: int = 50, preserve: int = 16) -> DataFrame:
     """(conv_id, pos, role, content): a summary row where there is one, then the newest messages that fit, oldest first."""
-    rows = messages.withColumns({"r": F.row_number().over(NEWEST), "n": F.count("*").over(Window.partitionBy("conv_id"))})
+    rows = messages.withColumns({"r": F.row_number().over(newest_first()), "n": F.count("*").over(Window.partitionBy("conv_id"))})
     if summaries is not None:
         rows = rows.join(summaries.select("conv_id", F.lit(True).alias("_c")), "conv_id", "left")
     used = F.coalesce(F.col("_c"), F.lit(False)) & (F.col("n") > preserve) if summaries is not None else F.lit(False)
@@ -60,13 +65,13 @@ def list_sessions(messages: DataFrame, compacted: DataFrame | None = None, limit
 
 def paired_turns(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, user, assistant): each user message with the assistant message right after it."""
-    nxt = messages.select("conv_id", "turn", "role", "text", F.lead("role").over(WINDOW).alias("r2"), F.lead("text").over(WINDOW).alias("t2"))
+    nxt = messages.select("conv_id", "turn", "role", "text", F.lead("role").over(in_order()).alias("r2"), F.lead("text").over(in_order()).alias("t2"))
     return nxt.where("role = 'user' and r2 = 'assistant'").select("conv_id", "turn", F.col("text").alias("user"), F.col("t2").alias("assistant"))
 
 
 def batch_turns(messages: DataFrame, interval: int = 3) -> DataFrame:
     """(conv_id, batch, turns, document): every `interval` paired turns make one document; an incomplete batch stays pending."""
-    t = paired_turns(messages).withColumn("batch", F.floor((F.row_number().over(WINDOW) - 1) / interval))
+    t = paired_turns(messages).withColumn("batch", F.floor((F.row_number().over(in_order()) - 1) / interval))
     line = F.concat(F.lit("User: "), excerpt(F.col("user"), 2000), F.lit("\nAssistant: "), excerpt(F.col("assistant"), 3500))
     made = t.groupBy("conv_id", "batch").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("document"))
     return made.where(F.col("turns") == interval)
