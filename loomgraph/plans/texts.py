@@ -138,9 +138,38 @@ def activity(t: Inputs):
 @query("i01_stream_evidence", "SELECT concept, count(*) FILTER (kind = 'activate') AS activation_count, count(*) FILTER (kind = 'weaken') AS disconfirmation_count FROM {evidence} GROUP BY 1")
 def stream(t: Inputs):
     """The events table as a stream: micro-batches fold into a table of counts that is written anew with each batch."""
-    return I.stream_counts(t.spark, t.sf_dir, checkpointed(t.spark))
+    checkpointed(t.spark)
+    return I.stream_counts(t.spark, t.sf_dir)
 
 
 @query("i04_stream_sources", f"WITH {SOURCE} SELECT id FROM src")
 def stream_sources(t: Inputs):
-    return I.stream_sources(t.spark, t.sf_dir, checkpointed(t.spark))
+    checkpointed(t.spark)
+    return I.stream_sources(t.spark, t.sf_dir)
+
+
+@query("i02_stream_state", """WITH n AS (SELECT concept, ts, obs_id, kind, count(*) FILTER (kind = 'activate') OVER w AS a, count(*) FILTER (kind = 'weaken') OVER w AS k FROM {evidence} WINDOW w AS (PARTITION BY concept ORDER BY ts, obs_id ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT concept, list(CASE WHEN kind = 'activate' THEN 6e-2 / (1 + 8e-2 * a) ELSE -6e-2 / (1 + 8e-2 * k) END ORDER BY ts, obs_id) AS d, count(*) AS n FROM n GROUP BY 1)
+    SELECT concept, n, round(list_reduce(list_prepend(15e-2, d), lambda x, y: CASE WHEN y > 0 THEN least(1e0, x + y) ELSE greatest(1e-2, x + y) END), 4) AS confidence FROM l""")
+def keyed_state(t: Inputs):
+    """Confidences in Spark's keyed state; the last row of a concept is its result."""
+    checkpointed(t.spark)
+    e = I.table_stream(t.spark, t.sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "weaken").otherwise("activate")
+    rows = I.collected(I.evidence_state(e.select(F.concat(F.lit("u"), "user_id").alias("concept"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))), "update")
+    last = rows.groupBy("concept").agg(F.max("n").alias("n"), F.max_by("confidence", "n").alias("confidence"))
+    return last.select("concept", "n", F.round("confidence", 4).alias("confidence"))
+
+
+@query("i03_pending_pairs", "SELECT l_partkey AS a, l_suppkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def pending(t: Inputs):
+    checkpointed(t.spark)
+    e = I.table_stream(t.spark, t.sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return I.collected(I.pending_pairs(e), "update").groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+@query("i06_turn_batches", "SELECT conv_id, count(*) // 3 AS documents FROM conversations GROUP BY 1 HAVING count(*) >= 3")
+def turn_batches(t: Inputs):
+    checkpointed(t.spark)
+    e = I.table_stream(t.spark, t.sf_dir, "conversations").select("conv_id", "turn", "text")
+    return I.collected(I.turn_batches(e), "append").groupBy("conv_id").agg(F.count("*").alias("documents"))
