@@ -105,17 +105,17 @@ def neighbors(t: Inputs):
 
 COUPLE = f"c AS (SELECT source_id, target_id, weight * {FACTOR} AS w FROM {{edges}})"
 TEMPORAL = f"""{NODES}, c AS (SELECT e.source_id, e.target_id, e.weight * {FACTOR} * {E_FRESH} * (x.fresh + y.fresh) / 2 AS w FROM {{edges}} e JOIN nodes x ON x.id = e.source_id JOIN nodes y ON y.id = e.target_id)"""
-SYMMETRIC = "SELECT a, b, round(sum(w), 6) AS weight FROM (SELECT source_id AS a, target_id AS b, w FROM c UNION ALL SELECT target_id, source_id, w FROM c) GROUP BY 1, 2"
+SYMMETRIC = "SELECT a, b, round(sum(w), 10) AS weight FROM (SELECT source_id AS a, target_id AS b, w FROM c UNION ALL SELECT target_id, source_id, w FROM c) GROUP BY 1, 2"
 
 
 @query("f08_coupling", f"WITH {COUPLE} {SYMMETRIC}")
 def coupling(t: Inputs):
-    return G.coupling(t.edges).withColumn("weight", F.round("weight", 6))
+    return G.coupling(t.edges).withColumn("weight", F.round("weight", 10))
 
 
 @query("f08_temporal_coupling", f"WITH {TEMPORAL} {SYMMETRIC}")
 def temporal(t: Inputs):
-    return G.coupling(t.edges, t.concepts, as_of()).withColumn("weight", F.round("weight", 6))
+    return G.coupling(t.edges, t.concepts, as_of()).withColumn("weight", F.round("weight", 10))
 
 
 def _found(t: Inputs) -> DataFrame:
