@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose words are encoded together; a longer text is a group of its own.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 #: Leaves of all trees of one step at most.
-TREE_CELLS = 1 << 21
+TREE_CELLS = 1 << 18
+#: Bytes of ids and text in a batch that goes out, about.
+OUT_BYTES = 4 << 20
 #: Words that a task keeps between groups, at most.
-KNOWN = 250_000
+KNOWN = 100_000
 NONE = np.int64(1) << 62
 
 
@@ -236,37 +238,42 @@ class Codec:
         yield from ((x, self.known) for x in held)
 
 
-def _run(docs: DataFrame, text_col: str, vocabulary: str, fields: str, make) -> DataFrame:
-    """docs as it is, with a struct column `bpe` that make(words, known) gives for each row."""
+def _run(docs: DataFrame, text_col: str, vocabulary: str, fields: dict[str, tuple[str, pa.DataType]], make, size) -> DataFrame:
+    """docs without the text, with a struct column `bpe` that make(words, known) gives; size(row) is about its bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
-    packed = docs.select(docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    packed = docs.select(docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("_row"))
+    kinds = [kind for _, kind in fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            made = [make(w, k) for w, k in codec.groups(x.as_py() for x in batch.column(0))]
-            columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
-            struct = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
-            yield pa.RecordBatch.from_arrays([batch.column(1), struct], names=["_row", "bpe"])
+            made, held, start = [], 0, 0
+            for i, (words, known) in enumerate(codec.groups(x.as_py() for x in batch.column(0)), 1):
+                made.append(make(words, known))
+                held += size(made[-1])
+                if held >= OUT_BYTES or i == batch.num_rows:  # small batches out: ids and texts are larger than what came in
+                    struct = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], list(fields))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, len(made)), struct], names=["_row", "bpe"])
+                    made, held, start = [], 0, i
 
-    kinds = {"n_tokens": pa.int64()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if "ids " in fields else {"ids_sha256": pa.string(), "decoded_sha256": pa.string()})
-    schema = packed.select("_row").schema.add("bpe", T.StructType.fromDDL(fields))
-    return packed.mapInArrow(run, schema)
+    ddl = ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items())
+    return packed.mapInArrow(run, packed.select("_row").schema.add("bpe", T.StructType.fromDDL(ddl)))
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """(_row, bpe): each row of docs, with n_tokens, ids array<int> and the decoded text."""
+    """(_row, bpe): each row of docs without its text, with n_tokens, ids array<int> and the decoded text."""
 
     def make(words: list[str], known: dict) -> tuple:
         found = [known[w] for w in words]
         ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
         return len(ids), ids.astype(np.int32), " ".join([x[1] for x in found])
 
-    return _run(docs, text_col, vocabulary, "n_tokens bigint, ids array<int>, decoded string", make)
+    fields = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    return _run(docs, text_col, vocabulary, fields, make, lambda row: 4 * row[0] + len(row[2]))
 
 
 def digests(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """(_row, bpe): each row of docs, with n_tokens and the SHA-256 of ids and of decoded text."""
+    """(_row, bpe): each row of docs without its text, with n_tokens and the SHA-256 of ids and of decoded text."""
 
     def make(words: list[str], known: dict) -> tuple:
         found = [known[w] for w in words]
@@ -274,7 +281,8 @@ def digests(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFra
         text = " ".join([x[1] for x in found])
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    return _run(docs, text_col, vocabulary, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    fields = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _run(docs, text_col, vocabulary, fields, make, lambda row: 300)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
