@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose words are encoded together; a longer text is a group of its own.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 3 << 20
 #: Leaves of all trees of one step at most.
-TREE_CELLS = 1 << 18
+TREE_CELLS = 1 << 19
 #: Bytes of ids and text in a batch that goes out, about.
 OUT_BYTES = 4 << 20
 #: Words that a task keeps between groups, at most.
-KNOWN = 100_000
+KNOWN = 200_000
 NONE = np.int64(1) << 62
 
 
