@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by near copies, the one with the smallest doc_id stays."""
-    return minhash.drop_near_duplicates(docs)
+    """Of texts linked by near copies (a Jaccard similarity of 0.8 or more of five-word shingles), the one with the smallest doc_id stays."""
+    return minhash.drop_near_duplicates(docs, threshold=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

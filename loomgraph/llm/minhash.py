@@ -12,7 +12,7 @@
    is the exact way for buckets in which the star does not settle everything; it has no cap.
 5. Links make connected components.
 
-Two sets that should be linked share no bucket with a probability of about 1e-8 (at the threshold; less above).
+Two sets that should be linked share no bucket with a probability of about 1e-8 at a threshold of 85 and 1e-5 at 80 (at the threshold; less above).
 
 Defined cases: null and empty texts, and texts of white space, have no shingle, are linked with
 nothing and kept; with fewer words than a shingle the whole text is one; a null id links with

@@ -63,3 +63,15 @@ def test_pipeline(spark, tmp_path):
 
     t = Tokenizer.from_file(tokenizer_file())
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in left.items()}
+
+
+def test_near_copies_from_a_similarity_of_80(spark):
+    """Pairs below 0.8, between 0.80 and 0.85, and above: the stage links the last two."""
+    words = lambda n, name: [f"{name}{k}" for k in range(n)]
+    a, b, c = words(60, "a"), words(48, "b"), words(200, "c")
+    rows = [(1, a), (2, [*a[:30], "x", *a[31:]]), (3, b), (4, [*b[:24], "x", *b[25:]]), (5, c), (6, [*c[:99], "x", *c[100:]])]
+    share = lambda v, w: len(v & w) / len(v | w)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    assert 0.8 <= share(sets[0], sets[1]) < 0.85 and share(sets[2], sets[3]) < 0.8 and share(sets[4], sets[5]) > 0.85
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
