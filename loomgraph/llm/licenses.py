@@ -52,8 +52,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in tokens_of(t)})
-#: A line that has none of these has no template term but digits, and can't reach the threshold.
-STRONG = r"\b(" + "|".join(w for w in VOCABULARY if not w.isdigit()) + r")\b"
+#: Texts and lines that have none of these have no template term at all. Its edges are those of TOKEN.
+KNOWN = "(?<![0-9a-z])(?:" + "|".join(VOCABULARY) + ")(?![0-9a-z])"
 
 
 def _tokens(line: Column) -> Column:
@@ -64,7 +64,7 @@ def _weights(texts: DataFrame) -> tuple[DataFrame, float]:
     """(term, idf) for the terms of the templates, and the idf of a word that no file has."""
     n = texts.count()
     terms = F.array_intersect(F.split(F.lower("t"), TOKEN), F.array(*map(F.lit, VOCABULARY)))  # distinct
-    seen = texts.where(F.lower("t").rlike(STRONG)).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    seen = texts.where(F.lower("t").rlike(KNOWN)).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     known = texts.sparkSession.createDataFrame([(w,) for w in VOCABULARY], "term string")
     idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     return cut(known.join(F.broadcast(seen), "term", "left").select("term", idf.alias("idf"))), log(n + 1) + 1
@@ -79,7 +79,7 @@ def own_licenses(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     terms = terms.select("template", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     length = terms.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     terms = cut(terms.join(length, "template").select("template", "term", "idf", (F.col("w") / F.col("length")).alias("w")))
-    lines = texts.select("k1", "k2", F.posexplode(F.split("t", "\n")).alias("line", "text")).where(F.lower("text").rlike(STRONG))
+    lines = texts.select("k1", "k2", F.posexplode(F.split("t", "\n")).alias("line", "text")).where(F.lower("text").rlike(KNOWN))
     lines = lines.select("k1", "k2", "line", _tokens(F.col("text")).alias("words"))
     lines = lines.withColumn("k", F.size(F.filter("words", lambda w: w.isin(VOCABULARY)))).withColumn("other", F.size("words") - F.col("k"))
     # The terms of the templates weigh at most k * most together, so more other words than this keep any cosine below the threshold.

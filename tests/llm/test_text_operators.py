@@ -3,6 +3,7 @@ and columns with clashing names; and on an empty table."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -300,3 +301,13 @@ def test_licenses(spark, docs, none):
     named = docs.withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
     assert licenses.scan(named, "doc_id", "path", "text").where("found <> 'none'").count() == 0
     assert licenses.scan(none.withColumn("path", F.lit("p")), "doc_id", "path", "text").count() == 0
+
+
+def test_license_terms_are_counted_over_all_texts(spark):
+    """Also texts whose only template terms are digits or stand beside an underscore."""
+    texts = ["Released under the MIT License.", "chapter 1", "1, 2 and 3", "see_license_1", "none", "", "x1 v12"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 long, k2 long, t string")
+    got = {r.term: r.idf for r in licenses._weights(df)[0].collect()}
+    sets = [set(re.split("[^0-9a-z]+", t.lower())) for t in texts]
+    want = {w: math.log((len(texts) + 1) / (sum(w in s for s in sets) + 1)) + 1 for w in licenses.VOCABULARY}
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-12 for w in want)
