@@ -120,7 +120,7 @@ def temporal(t: Inputs):
 
 def _found(t: Inputs) -> DataFrame:
     cut = checkpointed(t.spark)
-    links = cut(G.coupling(t.edges.where("weight > 0.2"), t.concepts, as_of()))
+    links = cut(G.coupling(t.edges.where("weight > 0"), t.concepts, as_of()))
     return M.build_communities(M.propagate_labels(links, cut), links)
 
 

@@ -184,3 +184,15 @@ def test_upsert_and_feed(spark):
     t = spark.createDataFrame([(1, 5, 0), (2, 5, 0)], "id long, n long, w long")
     u = T.upsert(t, spark.createDataFrame([(2, 6, 1), (3, 1, 0)], "id long, n long, w long"), ["id"])
     assert sorted((r.id, r.event) for r in T.change_feed(t, u, "n", "w").collect()) == [(2, "reinforced"), (2, "weakened"), (3, "created")]
+
+
+def test_communities_over_weak_edges(spark):
+    """Also edges of weight 0.2 and less hold a community together."""
+    from types import SimpleNamespace
+
+    from loomgraph.plans import graph as P
+
+    links = edges(spark, [(a, b, "positive", 0.15) for a in "abcd" for b in "abcd" if a < b] + [("d", "e", "positive", 0.0)])
+    concepts = spark.createDataFrame([(c, NOW) for c in "abcde"], "id string, last_activated timestamp")
+    found = P.communities(SimpleNamespace(spark=spark, edges=links, concepts=concepts)).collect()
+    assert [r.member_ids for r in found] == [["a", "b", "c", "d"]]
