@@ -196,3 +196,22 @@ def test_communities_over_weak_edges(spark):
     concepts = spark.createDataFrame([(c, NOW) for c in "abcde"], "id string, last_activated timestamp")
     found = P.communities(SimpleNamespace(spark=spark, edges=links, concepts=concepts)).collect()
     assert [r.member_ids for r in found] == [["a", "b", "c", "d"]]
+
+
+def test_relations_of_a_long_order(spark):
+    """All neighbours of an order are related, also beyond its first hundred lines; a returned line isn't."""
+    from types import SimpleNamespace
+
+    from loomgraph.plans import worlds as P
+
+    n, back = 150, 141
+    lines = [(1, k, k, "R" if k == back else "N") for k in range(n)]
+    t = SimpleNamespace(
+        spark=spark, lineitem=spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string"),
+        orders=spark.createDataFrame([(1, NOW, "1-URGENT")], "o_orderkey long, o_orderdate timestamp, o_orderpriority string"),
+        part=spark.createDataFrame([(k, f"part {k}") for k in range(n)], "p_partkey long, p_name string"),
+    )
+    name = {r.id: r.name for r in P._ingested(t).concepts.collect()} if hasattr(P, "_ingested") else {}
+    rows = [r for r in P.ingest_edges(t).collect() if r.is_explicit]
+    assert len(rows) == n - 2
+    assert {frozenset((name[r.source_id], name[r.target_id])) for r in rows} == {frozenset((f"part {k - 1}", f"part {k}")) for k in range(1, n) if k != back}
