@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, small_side
+from .common import cut, in_arrow, scratch, small_side
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 16
+#: Tasks that read archives at most; beyond it a task reads several, one after another.
+MOST_TASKS = 100_000
 #: Records of an output batch at most, and bytes of payload in it when payloads are asked for.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -119,7 +121,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         close()
         yield pa.RecordBatch.from_pydict({"archive": pa.array([d[0] for d in done], pa.string()), "records": pa.array([d[1] for d in done], pa.int64()), "bytes": pa.array([d[2] for d in done], pa.int64())})
 
-    return cut(rows.mapInArrow(run, "archive string, records bigint, bytes bigint"))
+    return cut(in_arrow(rows, run, "archive string, records bigint, bytes bigint"))
 
 
 class _Stream:
@@ -216,8 +218,13 @@ SCHEMA = "page_id bigint, url string, payload_bytes bigint, payload_digest strin
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of the archives (column `archive`), with `payload` (null for revisits) if asked for."""
-    names = archives.select("archive").repartition("archive")
+    """The records of the archives (column `archive`), with `payload` (null for revisits) if asked for.
+
+    Each archive is a task of its own, up to MOST_TASKS; a range partitioning by name deals them out evenly, and as its
+    number is given it isn't coalesced, however short the names are.
+    """
+    tasks = max(1, min(MOST_TASKS, archives.count()))  # of a table that was written, one short row for each archive
+    names = archives.select("archive").repartitionByRange(tasks, "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -240,7 +247,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     if rows:
                         yield pack(rows)
 
-    return names.mapInArrow(run, SCHEMA + ", payload binary" * payloads)
+    return in_arrow(names, run, SCHEMA + ", payload binary" * payloads)
 
 
 def new_folder(spark) -> str:  # noqa: ANN001
