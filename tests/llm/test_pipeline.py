@@ -51,7 +51,7 @@ def test_pipeline(spark, tmp_path):
     for _ in range(3):
         for a in left:
             for b in left:
-                if sets[a] and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                if sets[a] and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n):
                     label[a] = label[b] = min(label[a], label[b])
     left = {i: t for i, t in left.items() if label[i] == i}
 
