@@ -6,7 +6,10 @@ updates one path of the tree. That goes on until the root says that no pair can
 
 The trees of all different words of a batch are rows of numpy arrays and take their steps together,
 so a task needs a few array operations for each step, not for each word. Words of like length share
-a tree width; one endless word has a tree of its own and costs n log n.
+a tree width. A word of more than LONG bytes is first cut between bytes that no token of the vocabulary has
+side by side, where no merge can ever happen; what can't be cut has a tree of its own and costs n log n
+steps and some 40 bytes of memory a byte, so only an endless run of bytes that all belong together
+(a hundred megabytes of one letter, say) needs much of a worker.
 
 Ids and decoded text are those of the public `tokenizers` library for a vocabulary file of this kind:
 NFC, white space, lower case, a split by pattern, byte symbols and an end-of-word mark.
@@ -31,14 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 #: Characters of text whose words are encoded together; a longer text is a group of its own.
-GROUP_CHARS = 3 << 20
+GROUP_CHARS = 1 << 19
 #: Leaves of all trees of one step at most.
-TREE_CELLS = 1 << 19
+TREE_CELLS = 1 << 17
 #: Bytes of ids and text in a batch that goes out, about.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 2 << 20
 #: Words that a task keeps between groups, at most.
-KNOWN = 200_000
+KNOWN = 100_000
+#: Bytes of a word beyond which it is cut where no merge can happen.
+LONG = 4096
 NONE = np.int64(1) << 62
 
 
@@ -71,6 +78,11 @@ class Vocabulary:
         key = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
         made = np.array([ids[a + b] for a, b in pairs], np.int64)
         self._index(key, made)
+        byte = {c: b for b, c in enumerate(symbols)}
+        self.together = np.zeros((256, 256), bool)  # [a, b]: some token has byte b right after byte a
+        for t in ids:
+            x = [byte[c] for c in t.removesuffix(suffix) if c in byte]
+            self.together[x[:-1], x[1:]] = True
 
     def _index(self, key: np.ndarray, made: np.ndarray) -> None:
         """An open hash table from pair to rank and merged id; nine slots in ten stay free."""
@@ -117,8 +129,8 @@ def merge_all(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     rows = np.arange(n)
     tree = np.full((n, 2 * width), NONE, np.int64)
     made = np.zeros((n, width), np.int32)
-    after = np.tile(np.arange(1, width + 1), (n, 1))  # of each live position, the next one
-    before = np.tile(np.arange(-1, width - 1), (n, 1))
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))  # of each live position, the next one
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
     live = np.arange(width) < sizes[:, None]
     if width > 1:
         found = v.ranks(ids[:, :-1], ids[:, 1:])
@@ -158,9 +170,35 @@ def merge_all(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     return ids, live
 
 
+def apart(v: Vocabulary, raw: bytes) -> list[bytes]:
+    """A long word in parts of about LONG bytes or more, cut where no merge can happen."""
+    x = np.frombuffer(raw, np.uint8)
+    spots = np.flatnonzero(~v.together[x[:-1], x[1:]]) + 1
+    ends, start = [], 0
+    while len(raw) - start > LONG and (k := int(np.searchsorted(spots, start + LONG))) < len(spots):
+        start = int(spots[k])
+        ends.append(start)
+    return [raw[a:b] for a, b in zip([0, *ends], [*ends, len(raw)], strict=True)]
+
+
 def encode_words(v: Vocabulary, words: list[str]) -> list[tuple[bytes, str, int]]:
     """Of each word: its ids as little-endian 32-bit integers, its decoded text, how many ids."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    long = [i for i, b in enumerate(raw) if len(b) > LONG]
+    if not long:
+        return _encode_parts(v, raw, np.ones(len(raw), bool))
+    parts = [apart(v, b) if len(b) > LONG else [b] for b in raw]
+    counts = np.array([len(p) for p in parts])
+    ends = np.cumsum(counts)
+    final = np.zeros(int(ends[-1]), bool)
+    final[ends - 1] = True
+    found = _encode_parts(v, [b for p in parts for b in p], final)
+    joined = (found[e - n : e] for n, e in zip(counts.tolist(), ends.tolist(), strict=True))
+    return [x[0] if len(x) == 1 else (b"".join(y[0] for y in x), " ".join(y[1] for y in x), sum(y[2] for y in x)) for x in joined]
+
+
+def _encode_parts(v: Vocabulary, raw: list[bytes], final: np.ndarray) -> list[tuple[bytes, str, int]]:
+    """As encode_words, for parts of words; final: which of them end a word."""
     sizes = np.array([len(b) for b in raw])
     out: list = [(b"", "", 0)] * len(raw)
     widths = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
@@ -172,7 +210,8 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[tuple[bytes, str, int]
             cells = np.zeros((len(part), width), np.uint8)
             cells[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
             ids = v.inner[cells]
-            ids[np.arange(len(part)), n - 1] = v.last[cells[np.arange(len(part)), n - 1]]
+            ends_word = np.flatnonzero(final[part])
+            ids[ends_word, n[ends_word] - 1] = v.last[cells[ends_word, n[ends_word] - 1]]
             ids, live = merge_all(v, ids, n)
             flat, ends = ids[live].astype("<u4"), np.cumsum(live.sum(1)).tolist()
             data, tokens, a = flat.tobytes(), [v.tokens[i] for i in flat.tolist()], 0
@@ -257,7 +296,7 @@ def _run(docs: DataFrame, text_col: str, vocabulary: str, fields: dict[str, tupl
                     made, held, start = [], 0, i
 
     ddl = ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items())
-    return packed.mapInArrow(run, packed.select("_row").schema.add("bpe", T.StructType.fromDDL(ddl)))
+    return in_arrow(packed, run, packed.select("_row").schema.add("bpe", T.StructType.fromDDL(ddl)))
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:

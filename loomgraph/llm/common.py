@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step handles at a time; longer texts are walked in pieces of this size.
-STEP = 1 << 20
+STEP = 1 << 18
+#: Bytes of an Arrow batch that Spark sends to a Python worker, about: a batch ends after the row that passes it.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +49,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _give_back() -> None:
+    """Returns what a task no longer needs to the system: workers are kept for other tasks, and their memory adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes; the worker's memory is given back at the end of a task.
+
+    Spark takes the bound from the session when the plan runs, so it is lowered there.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True for a fifth of all ids, by the CRC-32 of the id as text; a null id is held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -134,3 +163,49 @@ BROADCAST_ROWS = 200_000
 def small_side(lookup: DataFrame, rows: int) -> DataFrame:
     """The lookup table of so many rows, marked for broadcast only where that is a bounded size."""
     return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
+
+
+class Sieve:
+    """A blocked Bloom filter as a table: (_w, _m), of each 64-bit word that has a bit its number and bits.
+
+    A key has four bits in one word, so looking keys up is a join of a bounded table on one integer, in
+    DataFrame functions, and the rows looked up stay where they are. There is a word for four keys (16 bits a key) up
+    to MOST_WORDS; beyond that more keys pass, so whoever uses it checks exactly afterwards.
+    """
+
+    #: About 64 bytes a word once it is broadcast: 64 MB.
+    MOST_WORDS = 1 << 20
+
+    def __init__(self, keys: DataFrame, key: str, n: int):
+        self.bits = max(4, min(self.MOST_WORDS.bit_length() - 1, (max(1, n) // 4).bit_length()))
+        word, mask = self._spot(F.col(key))
+        self.words = cut(keys.select(word.alias("_w"), mask.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m")))
+
+    def _spot(self, key: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(key, F.lit(29))
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+        return F.shiftrightunsigned(h, 64 - self.bits), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+    def marked(self, rows: DataFrame, key: Column, name: str = "_maybe") -> DataFrame:
+        """rows with a column that is true where the key may be among the filter's keys."""
+        word, mask = self._spot(key)
+        names = rows.columns
+        out = rows.join(F.broadcast(self.words), word == F.col("_w"), "left")
+        return out.select(*[rows[c] for c in names], F.coalesce(F.col("_m").bitwiseAND(mask) == mask, F.lit(False)).alias(name))
+
+    def passed(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows whose key may be among the filter's keys."""
+        word, mask = self._spot(key)
+        out = rows.join(F.broadcast(self.words), word == F.col("_w"))
+        return out.where(F.col("_m").bitwiseAND(mask) == mask).select(*[rows[c] for c in rows.columns])
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (with the key columns, which must not clash) that have no equal key in gone.
+
+    Rows that a filter of the keys in `gone` rules out stay where they are; only the others are shuffled.
+    """
+    sieve = Sieve(gone.select(F.struct(*keys).alias("_k")), "_k", gone.count())
+    marked = sieve.marked(rows, F.struct(*keys))
+    alone = marked.where("not _maybe").drop("_maybe")
+    return alone.union(marked.where("_maybe").drop("_maybe").join(gone.select(*keys), keys, "left_anti").select(*alone.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, mixed, points, sample_by_label
+from .common import STEP, in_arrow, mixed, points, sample_by_label
 
 BUCKETS = 1 << 16
 #: Texts of each language to learn from, about.
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, label: str = "lang", text_col: str = "text", per_la
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"l": pa.array([lang] * len(at)), "g": pa.array(at.astype(np.int32)), "n": pa.array(c[at])})
 
-    found = rows.mapInArrow(count, "l string, g int, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
+    found = in_arrow(rows, count, "l string, g int, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["l"].unique().tolist())
     table = np.zeros((BUCKETS, len(languages)))
     table[found["g"].to_numpy(np.int64), found["l"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] = found["n"]
@@ -163,4 +163,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "score", "languages", "shares"])
             yield pa.RecordBatch.from_arrays([batch.column(1), struct], names=["_row", "found"])
 
-    return packed.mapInArrow(run, packed.select("_row").schema.add("found", T.StructType.fromDDL(ddl)))
+    return in_arrow(packed, run, packed.select("_row").schema.add("found", T.StructType.fromDDL(ddl)))

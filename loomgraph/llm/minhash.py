@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Bits, cut, mixed, small_side
+from .common import STEP, Bits, cut, in_arrow, mixed, small_side
 from .components import components
 
 BANDS, ROWS = 48, 7
@@ -45,12 +45,18 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BASE = 0xD1B54A32D192ED03
 
 
-@cache
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """BASE**i and BASE**-i modulo 2**64 for i < n, from one pair of arrays that grows to the largest n asked for."""
+    if len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[i] = np.cumprod(x)
+    return _powers[0][:n], _powers[1][:n]
 
 
 @cache
@@ -71,7 +77,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     gap = np.concatenate([[True], SPACE[x], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = powers(1 << max(16, int(len(raw)).bit_length()))
+    up, down = powers(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], dtype=np.uint64)])
     return mixed((sums[end] - sums[start]) * down[start])
 
@@ -159,7 +165,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     schema = rows.select("id").schema.add("n", "long").add("s1", "long").add("s2", "long")
-    return rows.mapInArrow(run, schema.add("bands", T.ArrayType(T.LongType())))
+    return in_arrow(rows, run, schema.add("bands", T.ArrayType(T.LongType())))
 
 
 def full_sets(docs: DataFrame, text_col: str, wanted: Bits) -> DataFrame:
@@ -177,7 +183,7 @@ def full_sets(docs: DataFrame, text_col: str, wanted: Bits) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([*found.values()], pa.list_(pa.int64()))], names=["s1", "s2", "set"])
 
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    return docs.select(docs[text_col].alias("t")).mapInArrow(run, "s1 bigint, s2 bigint, set array<bigint>")
+    return in_arrow(docs.select(docs[text_col].alias("t")), run, "s1 bigint, s2 bigint, set array<bigint>")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

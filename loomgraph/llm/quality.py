@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sample_by_label, small_side
+from .common import cut, in_arrow, sample_by_label, small_side
 
 DICT_BYTES = 110 << 10
 PER_CLASS = 1500
@@ -126,4 +126,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(shared.value.slope * found + shared.value.bias, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64()), pa.array(scores, pa.float64())], names=["_row", "difference", "score"])
 
-    return packed.mapInArrow(run, packed.select("_row").schema.add("difference", "double").add("score", "double"))
+    return in_arrow(packed, run, packed.select("_row").schema.add("difference", "double").add("score", "double"))

@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Bits, cut, mixed, small_side
+from .common import STEP, Bits, cut, in_arrow, mixed, small_side
 from .decontam import text_key
 from .minhash import powers
 
 ANCHOR = 40
 LEAST = 200
 HOT = 200_000
+#: Anchors, and surroundings with their bytes, that a task holds to tell equal ones once.
+HELD_KEYS, HELD_ROWS = 500_000, 40_000
 #: 64 MB at most.
 CAP_BITS = 1 << 29
 
@@ -59,7 +61,7 @@ class Anchors:
 
     def __init__(self, x: np.ndarray, least: int):
         n = len(x)
-        up, down = powers(1 << max(16, n.bit_length()))
+        up, down = powers(n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
         self.down = down
         gram = mixed((self.sums[ANCHOR:] - self.sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
@@ -100,24 +102,34 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _counted(texts: DataFrame, least: int) -> DataFrame:
-    """(key, n): how often each anchor occurs, in rows that hold what one batch has of it."""
+    """(key, n): how often each anchor occurs, in rows that hold what a part of a task has of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys = [Anchors(x, least).key for t in batch.column(0) for _, x in pieces(t.as_py(), least)]
-            k, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int32))], names=["key", "n"])
+            for t in batch.column(0):
+                for _, x in pieces(t.as_py(), least):
+                    held.append(Anchors(x, least).key)
+                    size += len(held[-1])
+            if size >= HELD_KEYS:
+                yield pack(held)
+                held, size = [], 0
+        yield pack(held)
 
-    return texts.select("t").mapInArrow(run, "key bigint, n int")
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        k, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int32))], names=["key", "n"])
+
+    return in_arrow(texts.select("t"), run, "key bigint, n int")
 
 
 def _surroundings(texts: DataFrame, least: int, known: Bits) -> DataFrame:
-    """(key, around, n, lead, size, suffix, before): each different surrounding of a repeated anchor, once a batch."""
+    """(key, around, n, lead, size, suffix, before): each different surrounding of a repeated anchor, once for each part of a task."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], list] = {}
         for batch in batches:
-            seen: dict[tuple[int, int], list] = {}
             for t in batch.column(0):
                 for _, x in pieces(t.as_py(), least):
                     a = Anchors(x, least)
@@ -128,10 +140,10 @@ def _surroundings(texts: DataFrame, least: int, known: Bits) -> DataFrame:
                         else:
                             s, p, e = int(a.start[i]), int(a.at[i]), int(a.end[i])
                             seen[name] = [1, p - s, e - s, x[p:e].tobytes(), x[s:p][::-1].tobytes()]
-                if len(seen) >= 50_000:
+                if len(seen) >= HELD_ROWS:
                     yield pack(seen)
                     seen = {}
-            yield pack(seen)
+        yield pack(seen)
 
     def pack(seen: dict) -> pa.RecordBatch:
         names = np.array([*seen], np.int64).reshape(-1, 2)
@@ -139,16 +151,19 @@ def _surroundings(texts: DataFrame, least: int, known: Bits) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "around", "n", "lead", "size", "suffix", "before"])
 
-    return texts.select("t").mapInArrow(run, "key bigint, around bigint, n int, lead int, size int, suffix binary, before binary")
+    return in_arrow(texts.select("t"), run, "key bigint, around bigint, n int, lead int, size int, suffix binary, before binary")
 
 
 def _occurrences(texts: DataFrame, least: int, known: Bits) -> DataFrame:
-    """(key, around, k1, k2, start): where repeated anchors' surroundings are; a text that a batch repeats is told once."""
+    """(key, around, k1, k2, start): where repeated anchors' surroundings are; a text that a task repeats is told once."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for batch in batches:
-            done, parts = set(), []
+            if len(done) >= HELD_KEYS:
+                done = set()
+            parts = []
             for t, k1, k2 in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if (k1, k2) in done:
                     continue
@@ -161,7 +176,7 @@ def _occurrences(texts: DataFrame, least: int, known: Bits) -> DataFrame:
             columns = [np.concatenate([*(p[j] for p in parts), np.zeros(0, np.int64)]) for j in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "around", "k1", "k2", "start"])
 
-    return texts.mapInArrow(run, "key bigint, around bigint, k1 bigint, k2 bigint, start bigint")
+    return in_arrow(texts, run, "key bigint, around bigint, k1 bigint, k2 bigint, start bigint")
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -252,7 +267,7 @@ def _settled(rows: DataFrame, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([key[i] for i in keep], pa.int64()), pa.array([around[i] for i in keep], pa.int64()), pa.array(rows, pa.list_(span))], names=["key", "around", "spans"])
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "suffix", "around")
-    return sorted_rows.mapInArrow(run, fields)
+    return in_arrow(sorted_rows, run, fields)
 
 
 def _settled_hot(rows: DataFrame, least: int) -> DataFrame:
@@ -264,7 +279,7 @@ def _settled_hot(rows: DataFrame, least: int) -> DataFrame:
             parts = []
             for key, around, n, lead, size, suffix, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(before[::-1] + suffix, np.uint8)
-                up, down = powers(1 << max(16, len(x).bit_length()))
+                up, down = powers(len(x) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], dtype=np.uint64)])
                 at = np.arange(size - least + 1)
                 w = mixed(mixed((sums[at + least] - sums[at]) * down[at])).view(np.int64)
@@ -274,7 +289,7 @@ def _settled_hot(rows: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=fields.names)
 
     whole = rows.groupBy("key", "around").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("lead", "size", "suffix", "before")))
-    windows = whole.mapInArrow(run, fields)
+    windows = in_arrow(whole, run, fields)
     again = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     hit = windows.join(again, "window", "left_semi").groupBy("key", "around").agg(F.array_sort(F.collect_list("offset")).alias("at"))
     return hit.select("key", "around", F.transform("at", lambda o: F.struct(o.alias("from"), (o + least).alias("to"))).alias("spans"))
@@ -328,4 +343,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
             struct = pa.StructArray.from_arrays([pa.array([r[j] for r in out], k) for j, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
             yield pa.RecordBatch.from_arrays([batch.column(2), struct], names=["_row", "cut"])
 
-    return joined.mapInArrow(run, joined.select("_row").schema.add("cut", T.StructType.fromDDL(ddl)))
+    return in_arrow(joined, run, joined.select("_row").schema.add("cut", T.StructType.fromDDL(ddl)))

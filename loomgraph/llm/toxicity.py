@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, cut, mixed, points, sample_by_label, small_side
+from .common import STEP, cut, in_arrow, mixed, points, sample_by_label, small_side
 
 BUCKETS = 1 << 20
 SIZES = (4, 5, 6)
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
         at = np.flatnonzero(sums.sum(0) > 0).astype(np.int32)
         yield pa.RecordBatch.from_pydict({"g": pa.array(at), "a": pa.array(sums[0, at]), "b": pa.array(sums[1, at])})
 
-    sums = sample.mapInArrow(count, "g int, a int, b int").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = in_arrow(sample, count, "g int, a int, b int").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = {r[0]: r[1] for r in drawn.groupBy("y").count().collect()}
     n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
     a, b = F.col("a") + SMOOTH, F.col("b") + SMOOTH
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
             sets = [shared.value.features(t.as_py()).astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["y", "f"])
 
-    seen = sample.mapInArrow(found, "y int, f array<int>").toArrow()
+    seen = in_arrow(sample, found, "y int, f array<int>").toArrow()
     y = seen.column("y").to_numpy().astype(float)
     w, bias = _regression([x.values.to_numpy() for x in seen.column("f")], y, best["r"].to_numpy())
     # The sample holds the labels in other shares than the rows do.
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
             scores = pa.array([shared.value.score(t.as_py()) for t in batch.column(0)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(1), scores], names=["_row", "score"])
 
-    return packed.mapInArrow(run, packed.select("_row").schema.add("score", "double"))
+    return in_arrow(packed, run, packed.select("_row").schema.add("score", "double"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
