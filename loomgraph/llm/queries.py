@@ -38,13 +38,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: most lie in source/lang/block, some further up; one whose last line is a notice speaks for its directory."""
+    """The documents as files: most lie in source/lang/block, some further up; those further up are named as licence files."""
     docs = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     folder = F.when(i % 50 == 0, F.array("source")).when(i % 10 == 0, F.array("source", "lang")).otherwise(F.array("source", "lang", F.floor(i / 1000).cast("string")))
-    files = docs.select("doc_id", "text", F.array_join(F.concat(folder, F.array(i.cast("string"))), "/").alias("path"))
-    notice = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), -1)).rlike("licen[cs]e")
-    return licenses.scan(files, "doc_id", "path", "text", notice)
+    name = F.when(i % 10 == 0, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(i.cast("string"))
+    files = docs.select("doc_id", "text", F.array_join(F.concat(folder, F.array(name)), "/").alias("path"))
+    return licenses.scan(files, "doc_id", "path", "text")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+
+
+def _license_sql() -> str:
+    """The same scan in DuckDB: every unit of every file against every template."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    low = lambda c: f"translate(coalesce({c}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    words = lambda c: f"list_filter(regexp_split_to_array({c}, '{licenses.GAP}'), lambda w: w <> '' AND NOT list_contains([{', '.join(map(quoted, licenses.STOP))}], w))"
+    templates = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    own = "arg_min(template, (-cosine, template))"
+    return f"""
+        WITH f AS (SELECT doc_id, {low('text')} AS t, array_to_string([source, CASE WHEN doc_id % 50 <> 0 THEN lang END, CASE WHEN doc_id % 10 <> 0 THEN (doc_id // 1000)::VARCHAR END,
+                          CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' ELSE '' END || doc_id::VARCHAR], '/') AS path FROM documents),
+        n AS (SELECT count(*) AS n FROM f),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({words('t')})) AS term FROM f) GROUP BY 1),
+        t AS (SELECT number, name, term, count(*) AS tf FROM (SELECT number, name, unnest({words(low('text'))}) AS term FROM (VALUES {templates}) AS x(number, name, text)) GROUP BY ALL),
+        tw AS (SELECT number, name, t.term, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM t CROSS JOIN n LEFT JOIN df ON df.term = t.term),
+        tn AS (SELECT number, sqrt(sum(w * w)) AS size FROM tw GROUP BY 1),
+        l AS (SELECT doc_id, t, string_split(t, chr(10)) AS x FROM f),
+        u AS (SELECT doc_id, unnest(list_distinct(x || flatten(list_transform(x, lambda y: regexp_split_to_array(y, '{licenses.SENTENCE}'))) || regexp_split_to_array(t, '{licenses.BLANK}') || [regexp_extract(t, '{licenses.HEADER}', 1), t])) AS u FROM l),
+        v AS (SELECT doc_id, u, term, count(*) AS tf FROM (SELECT doc_id, u, unnest({words('u')}) AS term FROM u) GROUP BY ALL),
+        vw AS (SELECT doc_id, u, v.term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM v JOIN df ON df.term = v.term CROSS JOIN n),
+        vn AS (SELECT doc_id, u, sqrt(sum(w * w)) AS size FROM vw GROUP BY ALL),
+        dot AS (SELECT vw.doc_id, vw.u, tw.number, max(tw.name) AS template, sum(vw.w * tw.w) AS d FROM vw JOIN tw ON tw.term = vw.term GROUP BY ALL),
+        c AS (SELECT dot.doc_id, template, round(d / vn.size / tn.size, 6) AS cosine FROM dot JOIN vn ON vn.doc_id = dot.doc_id AND vn.u = dot.u JOIN tn ON tn.number = dot.number),
+        own AS (SELECT doc_id, {own} AS own, max(cosine) AS score FROM c WHERE cosine >= {licenses.THRESHOLD} GROUP BY 1),
+        r AS (SELECT f.doc_id, path, own, score, doc_id % 10 = 0 AS notice, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f LEFT JOIN own USING (doc_id)),
+        s AS (SELECT dir, arg_min(own, (-score, own)) AS spoken FROM r WHERE notice AND own IS NOT NULL GROUP BY 1),
+        near AS (SELECT r.doc_id, arg_max(s.spoken, length(s.dir)) AS spoken, arg_max(s.dir, length(s.dir)) AS above FROM r JOIN s ON r.dir = s.dir OR s.dir = '' OR starts_with(r.dir, s.dir || '/') GROUP BY 1)
+        SELECT r.doc_id, path, own AS own_license, score AS own_score, coalesce(own, spoken) AS license,
+               CASE WHEN own IS NOT NULL AND notice THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN spoken IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
+               CASE WHEN own IS NULL THEN above END AS from_dir
+        FROM r LEFT JOIN near ON near.doc_id = r.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha FROM documents)

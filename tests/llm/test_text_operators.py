@@ -6,7 +6,8 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+import textwrap
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,11 +304,41 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none.withColumn("path", F.lit("p")), "doc_id", "path", "text").count() == 0
 
 
-def test_license_terms_are_counted_over_all_texts(spark):
-    """Also texts whose only template terms are digits or stand beside an underscore."""
-    texts = ["Released under the MIT License.", "chapter 1", "1, 2 and 3", "see_license_1", "none", "", "x1 v12"]
-    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 long, k2 long, t string")
-    got = {r.term: r.idf for r in licenses._weights(df)[0].collect()}
-    sets = [set(re.split("[^0-9a-z]+", t.lower())) for t in texts]
-    want = {w: math.log((len(texts) + 1) / (sum(w in s for s in sets) + 1)) + 1 for w in licenses.VOCABULARY}
-    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-12 for w in want)
+def brute_licenses(texts):
+    """{text: (licence, score)} by plain TF-IDF of every unit against every template."""
+    words = {t: licenses.tokens_of(t or "") for t in texts}
+    n = len(texts)
+    df = Counter(w for t in texts for w in set(words[t]))
+    vector = lambda ws: {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) for w, c in Counter(ws).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(licenses.tokens_of(t))) for name, t in licenses.TEMPLATES]
+    out = {}
+    for t in set(texts):
+        low, units = (t or "").lower(), set()
+        for line in low.split("\n"):
+            units |= {line, *re.split(r"[.!?][ \t\r]+", line)}
+        head = re.match(r"(?:[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*\n?)+", low)
+        units |= {*re.split(r"\n[ \t\r]*\n", low), low, head[0] if head else ""}
+        best = []
+        for u in units:
+            v = vector(licenses.tokens_of(u))
+            for name, w in known:
+                if v and (c := round(sum(x * w.get(k, 0) for k, x in v.items()) / size(v) / size(w), 6)) >= licenses.THRESHOLD:
+                    best.append((-c, name))
+        if best:
+            out[t] = min(best)[1], -min(best)[0]
+    return out
+
+
+def test_licenses_against_plain_tf_idf(spark):
+    """Copies, underscores, digits, wrapped and embedded notices, whole files; each copy counts once in the frequencies."""
+    text = lambda name: next(t for k, t in reversed(licenses.TEMPLATES) if k == name)
+    wrap = lambda t, mark: "\n".join(f"{mark}{line}" for line in textwrap.wrap(" ".join(t.split()), 60))
+    texts = ["Released under the MIT License."] * 9 + ["Released_under_the_MIT_License.", "chapter 1", "1, 2 and 3", "version 2.0, 3 and 4", "", None, "x1 v12", prose(400)]
+    texts += ["Copyright 2021 Acme. Released under the MIT License. All else is plain.", wrap(text("GPL-2.0"), "# ") + "\nimport os\n" + prose(50), "Copyright (c) 2020 Some One\n\n" + wrap(text("MIT"), "")]
+    texts += [wrap(t, " * ") for _, t in licenses.TEMPLATES] + [prose(30) + "\n\n" + wrap(text("ISC"), "") + "\n\n" + prose(30)]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string").repartition(3)
+    found = {r.id: (r.own_license, r.own_score) for r in licenses.scan(df, "id", "path", "text").collect()}
+    want = brute_licenses(texts)
+    assert {i: want.get(t, (None, None)) for i, t in enumerate(texts)} == {i: (a, s if s is None else pytest.approx(s, abs=2e-6)) for i, (a, s) in found.items()}
+    assert found[9][0] == found[17][0] == found[19][0] == "MIT" and found[18][0] == "GPL-2.0" and found[len(texts) - 1][0] == "ISC" and found[12][0] is None
