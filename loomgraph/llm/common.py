@@ -113,6 +113,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(lookup: DataFrame, rows: int) -> DataFrame:
+    """The lookup table of so many rows, marked for broadcast only where that is a bounded size."""
+    return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
+
+
 class Bits:
     """A Bloom filter of fixed size with two probes, built on executors and sent to all of them.
 
@@ -156,15 +165,6 @@ class Bits:
 
 
 
-#: Rows of a lookup table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(lookup: DataFrame, rows: int) -> DataFrame:
-    """The lookup table of so many rows, marked for broadcast only where that is a bounded size."""
-    return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
-
-
 class Sieve:
     """A blocked Bloom filter as a table: (_w, _m), of each 64-bit word that has a bit its number and bits.
 
@@ -200,12 +200,26 @@ class Sieve:
         return out.where(F.col("_m").bitwiseAND(mask) == mask).select(*[rows[c] for c in rows.columns])
 
 
-def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (with the key columns, which must not clash) that have no equal key in gone.
+def without(rows: DataFrame, gone: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows without those whose key columns (not null) are in `gone`.
 
-    Rows that a filter of the keys in `gone` rules out stay where they are; only the others are shuffled.
+    A small `gone` is broadcast. Otherwise rows that a filter of its keys rules out stay where they are, and only the
+    others are shuffled.
     """
-    sieve = Sieve(gone.select(F.struct(*keys).alias("_k")), "_k", gone.count())
-    marked = sieve.marked(rows, F.struct(*keys))
-    alone = marked.where("not _maybe").drop("_maybe")
-    return alone.union(marked.where("_maybe").drop("_maybe").join(gone.select(*keys), keys, "left_anti").select(*alone.columns))
+    gone = gone.select(*keys)
+    if (n := gone.count()) <= most:
+        return rows.join(F.broadcast(gone), keys, "left_anti")
+    marked = Sieve(gone.select(F.struct(*keys).alias("_k")), "_k", n).marked(rows, F.struct(*keys))
+    some = marked.where("_maybe").drop("_maybe").join(gone, keys, "left_anti")
+    return marked.where("not _maybe").drop("_maybe").union(some.select(*rows.columns))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the other columns of `found` (one row a key) or nulls; what is shuffled is as in `without`."""
+    rest = [f for f in found.schema if f.name not in keys]
+    if (n := found.count()) <= most:
+        return rows.join(F.broadcast(found), keys, "left").select(*rows.columns, *[f.name for f in rest])
+    marked = Sieve(found.select(F.struct(*keys).alias("_k")), "_k", n).marked(rows, F.struct(*keys))
+    some = marked.where("_maybe").drop("_maybe").join(found, keys, "left").select(*rows.columns, *[f.name for f in rest])
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rest]
+    return marked.where("not _maybe").select(*rows.columns, *none).union(some)

@@ -1,9 +1,14 @@
 """Exact dedup: two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 drops every row's hash into two rows of cells and keeps, as bitmaps of a bounded size,
-the cells that were hit more than once. Pass 2 looks each row up in those bitmaps: a row that
-misses is alone and passes straight through; only the others are shuffled and grouped by the
-SHA-256 of their normalised text, so that a false hit never changes a result.
+Pass 1 finds the cells of a large hash table that two rows or more fall in. No row is shuffled for that: each
+partition sends, for each range of cells, the set of the cells that its rows hit as one array (some bytes a row), and says
+whether one of them was hit twice inside the partition; where the arrays of a range meet, the cells in two of
+them, and all cells of an array with an inner repeat, are marked. The marked cells fill a Bloom filter.
+Pass 2 looks each row up in that filter: a row that misses is alone and passes straight through; only the others are
+shuffled and grouped by the SHA-256 of their normalised text, so that a false hit never changes a result.
+
+The filter is bounded (see common.Sieve): with more than some millions of repeated texts more rows than needed are shuffled as
+hashes; results stay the same.
 
 Defined cases: a null text counts as empty; empty texts equal each other; rows with the same text
 and the same id are one document, all of them marked kept by `duplicates`, while
@@ -18,53 +23,47 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import Sieve, cut, small_side
 
-#: Bits of each of the two bitmaps at most: 2**29 bits are 64 MB. With more rows than a sixteenth
-#: of that, more rows than needed are shuffled; results stay the same.
-CAP_BITS = 1 << 29
-CELLS_PER_ROW = 16
-BUCKET = 32768
+#: Cells of pass 1 for each row: one row in so many meets another one's cell by chance.
+CELLS_PER_ROW = 32
+#: Cells at most. It is no limit in practice and lets tests fill the table.
+CAP_BITS = 1 << 56
+#: Rows that fall in one range of cells, about: what meets in one row of pass 1.
+RANGE_ROWS = 4096
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def _cells(sha: Column, bits: int) -> tuple[Column, Column]:
-    """Two cells of a row, the second in a range of its own."""
-    h = F.xxhash64(sha)
-    return h.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(h, 64 - bits) + F.lit(1 << bits)
-
+def _cell(sha: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(sha), 64 - bits)
 
-def _repeated_cells(prints: DataFrame, bits: int) -> DataFrame:
-    """(b, m): bitmaps of the cells that two rows or more fall in; 2**(bits+1) bits in all at most."""
-    cells = prints.select(F.explode(F.array(*_cells(F.col("_sha"), bits))).alias("c"))
-    twice = cells.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select((F.col("c") + 1).alias("c"))
-    return twice.groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("m"))
 
-
-def _maybe(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
-    """rows with _maybe: whether both cells of the row are marked."""
-    hits = []
-    for i, cell in enumerate(_cells(F.col("_sha"), bits)):
-        side = F.broadcast(maps.select(F.col("b").alias(f"_b{i}"), F.col("m").alias(f"_m{i}")))
-        rows = rows.withColumn(f"_c{i}", cell)
-        rows = rows.join(side, F.bitmap_bucket_number(F.col(f"_c{i}") + 1) == F.col(f"_b{i}"), "left")
-        spot = F.pmod(F.col(f"_c{i}"), F.lit(BUCKET)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(f"_m{i}"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hits.append(F.coalesce(F.getbit(byte, F.pmod(spot, F.lit(8))) == 1, F.lit(False)))
-    return rows.withColumn("_maybe", hits[0] & hits[1]).drop("_c0", "_b0", "_m0", "_c1", "_b1", "_m1")
+def _repeated_cells(prints: DataFrame, bits: int, n: int) -> DataFrame:
+    """(c): the cells that two rows or more fall in, and some cells that are near those in one partition."""
+    inner = max(1, bits - max(0, int(log2(max(1, n / RANGE_ROWS)))))  # bits of a cell within its range
+    cell = _cell(F.col("_sha"), bits)
+    rows = prints.select(F.spark_partition_id().alias("p"), F.shiftrightunsigned(cell, inner).alias("r"), cell.bitwiseAND(F.lit((1 << inner) - 1)).alias("c"))
+    sets = rows.groupBy("p", "r").agg(F.collect_set("c").alias("s"), F.count("*").alias("n"))
+    ranges = sets.groupBy("r").agg(
+        F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.flatten(F.collect_list(F.when(F.col("n") > F.size("s"), F.col("s")))).alias("own")
+    )
+    twice = F.filter("s", lambda c, i: (i > 0) & (c == F.get("s", i - 1)))
+    marked = ranges.select("r", F.explode(F.array_distinct(F.concat(twice, "own"))).alias("c"))
+    return marked.select(F.shiftleft("r", inner).bitwiseOR(F.col("c")).alias("c"))
 
 
 class _Found:
-    """What pass 1 leaves behind: the bitmaps, and the groups of two or more rows."""
+    """What pass 1 leaves behind: the filter, and the groups of two or more rows."""
 
     def __init__(self, prints: DataFrame, cap_bits: int):
         n = prints.count()
         self.bits = int(min(log2(cap_bits), max(16, ceil(log2(max(1, n) * CELLS_PER_ROW)))))
-        self.maps = cut(_repeated_cells(prints, self.bits))
-        some = _maybe(prints, self.maps, self.bits).where("_maybe")
+        cells = cut(_repeated_cells(prints, self.bits, n))
+        self.sieve = Sieve(cells, "c", cells.count())
+        some = self.sieve.passed(prints, _cell(F.col("_sha"), self.bits))
         longest = some.groupBy("_sha", "_len").agg(F.min("_id").alias("_id"), F.count("*").alias("n"))
         groups = longest.groupBy("_sha").agg(
             F.max_by("_id", "_len").alias("_keep_id"), F.max("_len").alias("_keep_len"), F.sum("n").alias("_size")
@@ -74,7 +73,7 @@ class _Found:
 
     def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows that are alone for sure, the others with the columns of their group or nulls)."""
-        rows = _maybe(rows, self.maps, self.bits)
+        rows = self.sieve.marked(rows, _cell(F.col("_sha"), self.bits))
         others = rows.where("_maybe").join(small_side(self.groups, self.n_groups), F.col("_sha") == F.col("_key"), "left")
         return rows.where("not _maybe"), others
 
