@@ -1,16 +1,18 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The windows of all benchmark items are hashed into a set that is broadcast while it is small
-(and joined by a shuffle beyond that). Every window of every document is looked up in it; the few
-that hit are compared as words, then joined with the items they belong to. A document's result
-depends on its text alone, so rows with equal texts share one decision.
+The hashes of all benchmark windows fill a filter of bounded size that is broadcast (common.Sieve: 64 MB hold four
+million windows with one false hit in some hundred; more windows let more through). Every window of every document
+is looked up in it where it is and never shuffled; only the few that hit are compared as words with the
+benchmark's, then joined with the items they belong to. A document's result depends on its text alone, so rows with
+equal texts share one decision, and a window that many items share is compared once for each text.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in lower
 case. A window is `n` consecutive words of an item; an item of fewer words is one window.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no
 window; a null item id hits words but is not listed; repeated rows get equal results; an empty
-benchmark leaves every document clean; other columns are carried along unseen, whatever their names.
+benchmark leaves every document clean; other columns are carried along unseen, whatever their names. The words of
+one text are held in its row, with a row for each of its windows while it is looked at (some 100 bytes a word, as a stream).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small_side
+from .common import BROADCAST_ROWS, Sieve, cut, looked_up, small_side, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII that is neither a letter nor a digit.
@@ -71,8 +73,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     count = known.count()
     k1, k2 = text_key(docs[text_col])
     rows = docs.select(F.struct(k1.alias("k1"), k2.alias("k2")).alias("keep"), words(docs[text_col]).alias("w"))
-    keys = known.select("key", "len").distinct()
-    maybe = _windows(rows, lengths).join(small_side(keys, count), ["key", "len"], "left_semi")
+    maybe = Sieve(known, "key", count).passed(_windows(rows, lengths), F.col("key"))
     # Equal texts give equal rows: they meet here, already reduced on the side that reads them.
     maybe = maybe.select("keep.k1", "keep.k2", "pos", "len", _folded("joined").alias("folded")).distinct()
     hits = cut(maybe.join(small_side(known.select("folded").distinct(), count), "folded", "left_semi"))
@@ -94,18 +95,16 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
         ).otherwise(F.concat(out, F.array(x))),
     )
     spans = spans.select("k1", "k2", merged.alias("spans"))
-    items = hits.join(small_side(known.select("item", "folded"), count), "folded")
+    items = hits.select("k1", "k2", "folded").distinct().join(small_side(known.select("item", "folded"), count), "folded")
     items = items.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["len"])
     return cut(spans.join(items, ["k1", "k2"]).select("k1", "k2", hit.alias("n_hit"), "items", "spans"))
 
 
-def _matched(docs: DataFrame, text_col: str, found: DataFrame, how: str) -> DataFrame:
-    """docs as one column `_row`, with the decision on its text."""
+def _packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs as one column `_row`, with the key of its text."""
     k1, k2 = text_key(docs[text_col])
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"), k1.alias("_k1"), k2.alias("_k2"))
-    side = small_side(found, found.count())
-    return packed.join(side, (packed["_k1"] == side["k1"]) & (packed["_k2"] == side["k2"]), how)
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"), k1.alias("k1"), k2.alias("k2"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
@@ -125,13 +124,13 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10) -> DataFrame:
     """docs without the rows in which a benchmark window occurs."""
     found = find(docs, benchmark, text_col, n=n)
-    return _matched(docs, text_col, found, "left_anti").select("_row.*")
+    return without(_packed(docs, text_col).drop("_text"), found, ["k1", "k2"]).select("_row.*")
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10) -> DataFrame:
     """docs with the words of every occurrence taken out of the text; what separates words stays."""
     found = find(docs, benchmark, text_col, n=n)
-    out = _matched(docs, text_col, found, "left")
+    out = looked_up(_packed(docs, text_col), found.select("k1", "k2", "spans"), ["k1", "k2"])
     parts = F.regexp_extract_all("_text", F.lit(f"({WORD}|{GAP})"))
     # Words and gaps alternate, so the part's number gives the word's number.
     first = F.when(F.col("_text").rlike(f"\\A{WORD}"), 0).otherwise(1)
