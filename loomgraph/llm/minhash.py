@@ -32,15 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Bits, cut, in_arrow, mixed, small_side
+from .common import STEP, Sieve, cut, in_arrow, mixed, without
 from .components import components
 
 BANDS, ROWS = 48, 7
 BINS = BANDS * ROWS
 SHINGLE = 5
 ATTEMPTS = 2048
-#: log2 of the bits of the filter that says which documents' sets are wanted again: 16 MB at most.
-CAP_BITS = 1 << 27
+#: Members of a star that are compared with its centre in one group; a larger star is dealt to several, each with the centre's set.
+STAR_ROWS = 256
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BASE = 0xD1B54A32D192ED03
 
@@ -168,29 +168,31 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     return in_arrow(rows, run, schema.add("bands", T.ArrayType(T.LongType())))
 
 
-def full_sets(docs: DataFrame, text_col: str, wanted: Bits) -> DataFrame:
-    """(s1, s2, set): the sets of the texts whose first name passes the filter."""
+def full_sets(docs: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
+    """(id, set): the sets of the documents in names (id, s1, s2), read from their own rows only, not from those of their copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], np.ndarray] = {}
-            for text in batch.column(0):
-                s = shingles(text.as_py())
-                name = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                if shared.value.has(name[:1].view(np.uint64))[0]:
-                    found[int(name[0]), int(name[1])] = s.view(np.int64)
-            names = np.array([*found], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([*found.values()], pa.list_(pa.int64()))], names=["s1", "s2", "set"])
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            name = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "s1", "s2", "set"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    return in_arrow(docs.select(docs[text_col].alias("t")), run, "s1 bigint, s2 bigint, set array<bigint>")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    rows = Sieve(names, "id", names.count()).passed(rows, F.col("id"))
+    sets = in_arrow(rows, run, rows.select("id").schema.add("s1", "long").add("s2", "long").add("set", T.ArrayType(T.LongType())))
+    return sets.join(names, ["id", "s1", "s2"]).select("id", "set").dropDuplicates(["id"])
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with common: how many shingles both have, na and nb: how many each has."""
+    """pairs (a, b) with common: how many shingles both have, na and nb: how many each has.
+
+    One b may be in very many pairs: they are dealt to groups of about STAR_ROWS, and b's set goes to each group.
+    """
+    groups = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("_g")))
+    dealt = pairs.join(groups, "b").withColumn("_g", F.pmod(F.xxhash64("a"), F.col("_g")).cast("int"))
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("_sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("_sb"))
-    joined = pairs.join(a, "a").join(b, "b")
+    b = sets.join(groups.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col("set").alias("_sb"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_g"))
+    joined = dealt.join(a, "a").join(b, ["b", "_g"])
     return joined.select(*pairs.columns, F.size(F.array_intersect("_sa", "_sb")).alias("common"), F.size("_sa").alias("na"), F.size("_sb").alias("nb"))
 
 
@@ -202,25 +204,26 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members (key, id, ...) of the buckets whose members have several labels, with label."""
     known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     apart = known.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("key")
-    return known.join(apart, "key")
+    return known.join(cut(apart), "key")  # of a written table, so that a hot key of the join can be split
+
 
+def link_pairs(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """(a, b): confirmed links between representatives that connect all that is linked.
 
-def link_pairs(docs: DataFrame, classes: DataFrame, text_col: str, threshold: int) -> DataFrame:
-    """(a, b): confirmed links between representatives that connect all that is linked."""
+    Aggregates by bucket are written before they are joined with the bucket's members: a hot bucket of such a join can be split.
+    """
     rows = classes.where(F.size("bands") > 0).select("id", "n", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = cut(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = cut(rows.join(buckets, "key"))
     met = members.groupBy("id").agg(F.sum("m").alias("met"))
     ranked = members.join(met, "id")
-    centre = ranked.groupBy("key").agg(F.min_by("id", F.struct(-F.col("met"), "id")).alias("c"))
+    centre = cut(ranked.groupBy("key").agg(F.min_by("id", F.struct(-F.col("met"), "id")).alias("c")))
     members = cut(members.join(centre, "key").select("key", "id", "n", "c"))
     edges = cut(members.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct())
 
     ends = members.select("id").distinct()
     names = cut(classes.join(ends, "id").select("id", "s1", "s2"))
-    wanted = Bits.build(names, "s1", Bits.width(names.count(), CAP_BITS))
-    sets = full_sets(docs, text_col, wanted).join(names, ["s1", "s2"]).select("id", "set")
-    sets = cut(sets.dropDuplicates(["id"]))
+    sets = cut(full_sets(docs, id_col, text_col, names))
 
     tested = cut(_measured(edges, sets))
     near = _near(F.col("common"), F.col("na"), F.col("nb"), threshold)
@@ -265,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(sketches(docs, id_col, text_col, threshold))
     full = rows.where("n > 0 and id is not null")
     classes = cut(full.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    labels = components(link_pairs(docs, classes, text_col, threshold))
+    labels = components(link_pairs(docs, classes, id_col, text_col, threshold))
     named = classes.select("s1", "s2", "id").join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("label"))
     narrow = rows.select("id", "n", "s1", "s2")
     out = narrow.join(cut(named), ["s1", "s2"], "left")
@@ -276,5 +279,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """docs with the row of the smallest id of each group; all columns stay as they are."""
-    gone = cut(near_duplicates(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(small_side(gone, gone.count()), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = cut(near_duplicates(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col)).distinct())
+    return without(docs, gone, [id_col]).select(*docs.columns)
