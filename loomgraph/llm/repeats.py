@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Bits, cut, in_arrow, mixed, small_side
+from .common import BROADCAST_ROWS, STEP, Bits, cut, in_arrow, looked_up, mixed, small_side
 from .decontam import text_key
 from .minhash import powers
 
 ANCHOR = 40
 LEAST = 200
-HOT = 200_000
+HOT = 2_000
 #: Anchors, and surroundings with their bytes, that a task holds to tell equal ones once.
 HELD_KEYS, HELD_ROWS = 500_000, 40_000
 #: 64 MB at most.
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     k1, k2 = text_key(docs[text_col])
     packed = docs.select(docs[text_col].alias("_t"), k1.alias("k1"), k2.alias("k2"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("_row"))
     size = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first().n  # bounds the bytes as well as the rows
-    joined = packed.join(small_side(found, size), ["k1", "k2"], "left").select("_t", "spans", "_row")
+    joined = looked_up(packed, found, ["k1", "k2"], most=BROADCAST_ROWS if size <= BROADCAST_ROWS else -1).select("_t", "spans", "_row")
     ddl = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<from:bigint,to:bigint>>" + ", kept binary" * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
