@@ -5,7 +5,7 @@ A text is the set of its hashed character n-grams. Each n-gram's weight starts f
 from chance become features with that ratio as value, and a logistic regression over them is fitted.
 
 It learns from a bounded sample of labelled texts (`per_class`, about, of each label). The n-grams are
-counted on the executors; at most BUCKETS counts, and of the sample at most FEATURES numbers for
+counted on the executors; at most BUCKETS counts, and of the sample at most FEATURES numbers of two bytes for
 each text, come to the driver, where the regression is fitted. The model (FEATURES numbers and an
 index of BUCKETS cells) is broadcast.
 
@@ -119,10 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shared.value.features(t.as_py()).astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["y", "f"])
+            sets = [shared.value.features(t.as_py()).astype(np.int16) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int16()))], names=["y", "f"])
 
-    seen = in_arrow(sample, found, "y int, f array<int>").toArrow()
+    seen = in_arrow(sample, found, "y int, f array<smallint>").toArrow()
     y = seen.column("y").to_numpy().astype(float)
     w, bias = _regression([x.values.to_numpy() for x in seen.column("f")], y, best["r"].to_numpy())
     # The sample holds the labels in other shares than the rows do.
