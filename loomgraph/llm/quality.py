@@ -5,9 +5,9 @@ in blocks (so that a repetitive text can't hide behind its own repetitions); the
 divided by their sum, says which kind it resembles, and a logistic curve fitted on labelled
 texts that the dictionaries haven't seen turns it into the probability of label 1.
 
-It learns from a bounded sample: about `per_class` texts of each label, of at most LONGEST characters each (the
-dictionaries are built on the driver from half of them; the other half is scored on the executors and only
-its scores come back). The broadcast model is two dictionaries of DICT_BYTES and two numbers.
+It learns from a bounded sample: about `per_class` texts of each label, whatever their length (the dictionaries are built
+on the driver from half of them, of each text MOST_BLOCKS blocks at most, taken evenly from all of it; the other half is
+scored whole on the executors and only its scores come back). The broadcast model is two dictionaries of DICT_BYTES and two numbers.
 
 Defined cases: null and empty texts score as a difference of 0; without both labels to learn from every text scores
 the share of label 1 (0.0 without labels); null ids and labels are not learned from; texts of any
@@ -29,10 +29,10 @@ from .common import cut, in_arrow, sample_by_label, small_side
 
 DICT_BYTES = 110 << 10
 PER_CLASS = 1500
-#: Longer texts are not learned from, so that the sample's size in bytes is bounded too.
-LONGEST = 20_000
 LEVEL = 3
 BLOCK = 1024
+#: Blocks of a text that a dictionary is built from, at most: 3,000 texts give 60 MB at most.
+MOST_BLOCKS = 20
 
 
 class Model:
@@ -74,9 +74,17 @@ def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float
     return float(a[0]), float(a[1])
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    blocks = [r[k : k + BLOCK] for r in raw for k in range(0, len(r), BLOCK)]
+def even_blocks(text: str) -> bytes:
+    """Up to MOST_BLOCKS blocks of a text, evenly from its begin to its end."""
+    raw = text.encode("utf-8", "surrogatepass")
+    starts = range(0, len(raw), BLOCK)
+    if len(starts) > MOST_BLOCKS:
+        starts = [starts[i * (len(starts) - 1) // (MOST_BLOCKS - 1)] for i in range(MOST_BLOCKS)]
+    return b"".join(raw[k : k + BLOCK] for k in starts)
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    blocks = [r[k : k + BLOCK] for r in texts for k in range(0, len(r), BLOCK)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few texts to pick from: the texts themselves are the dictionary
@@ -97,10 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
     drawn = cut(sample_by_label(rows, label, per_class).select("doc_id", F.col(label).cast("int").alias("y")))
     text = F.coalesce(text_col, F.lit(""))
     half = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(2))
-    sample = docs.where(F.length(text) <= LONGEST).join(small_side(drawn, drawn.count()), "doc_id").select("y", text.alias("t"), half.alias("half"))
-    parts: dict[int, list[str]] = {0: [], 1: []}
-    for y, t in sample.where("half = 0 and t != ''").select("y", "t").distinct().orderBy("y", "t").collect():
-        parts[y].append(t)
+    sample = docs.join(small_side(drawn, drawn.count()), "doc_id").select("y", text.alias("t"), half.alias("half"))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([even_blocks(t.as_py()) for t in batch.column(1)], pa.binary())], names=["y", "b"])
+
+    parts: dict[int, list[bytes]] = {0: [], 1: []}
+    for y, b in in_arrow(sample.where("half = 0 and t != ''").select("y", "t"), taken, "y int, b binary").distinct().orderBy("y", "b").collect():
+        parts[y].append(bytes(b))
     if not parts[0] or not parts[1]:
         return flat
     model = Model(_dictionary(parts[1]), _dictionary(parts[0]), 0.0, 0.0)
