@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, exact, langid, licenses, minhash, quality, repeats, toxicity, warc
+from loomgraph.llm import bpe, common, decontam, exact, langid, licenses, minhash, quality, repeats, toxicity, warc
 from loomgraph.llm.components import components
 from loomgraph.llm.queries import tokenizer_file
 
@@ -192,7 +192,8 @@ def test_bpe_on_random_text():
     t, v = Tokenizer.from_file(tokenizer_file()), bpe.Vocabulary(tokenizer_file())
     codec = bpe.Codec(v)
     pool = "abcDEF 'sΣςσİıßéÉ日本\x1c\x85\xa0　\t\n12٣Ⅷ!?👍é"
-    texts = ["".join(R.choice(pool) for _ in range(R.randint(0, 40))) for _ in range(400)] + ["ab" * 3000]
+    texts = ["".join(R.choice(pool) for _ in range(R.randint(0, 40))) for _ in range(400)] + ["ab" * 3000, "x" * 9001, "".join(R.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(40_000))]
+    assert len(bpe.apart(v, texts[-1].encode())) > 3 and len(bpe.apart(v, texts[-2].encode())) == 1
     for text, (words, known) in zip(texts, codec.groups(texts), strict=True):
         assert b"".join(known[w][0] for w in words) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
 
@@ -232,12 +233,32 @@ def test_prefix_intervals():
     assert sorted(repeats.intervals([-1, 3, 5, 1, -1, 2])) == [(0, 2, 3), (0, 3, 1), (1, 2, 5), (4, 5, 2)]
 
 
+def test_lookups_beyond_a_broadcast(spark, docs):
+    """A large table of keys is filtered first and joined after, with the same rows."""
+    keys = spark.createDataFrame([(i, f"v{i}") for i in range(3, 900, 3)], "doc_id long, found string")
+    some = docs.where("doc_id is not null")
+    for most in (-1, 1 << 20):
+        out = {(r.doc_id, r.found) for r in common.looked_up(some, keys, ["doc_id"], most).collect()}
+        assert out == {(i, f"v{i}" if i % 3 == 0 and i else None) for i, *_ in DATA if i is not None}
+        assert sorted(r.doc_id for r in common.without(some, keys, ["doc_id"], most).collect()) == sorted(i for i, *_ in DATA if i is not None and (i % 3 or not i))
+
+
+def test_a_full_sieve_loses_nothing(spark):
+    keys = spark.range(4000).withColumn("k", F.col("id") * 7)
+    sieve = common.Sieve(keys, "k", 4000)
+    got_ = sieve.passed(spark.range(28000), F.col("id"))
+    assert got_.join(keys, got_["id"] == keys["k"]).count() == 4000 and got_.count() < 4300
+    small = common.Sieve(keys, "k", 1)
+    assert small.passed(spark.range(28000), F.col("id")).join(keys.select(F.col("k").alias("id")), "id").count() == 4000
+
+
 def test_warc(spark):
     schema = "page_id long, url string, html string, d string, top string, r string, i string"
     html = [None, "", "<p>a</p>", "<p>a</p>", "é\r\n\r\nWARC/1.1" * 2000, "x" * 3_000_000]
     data = [(k, f"http://x/{k} ü\r\nX: y", h, "d", "t", "r", "i") for k, h in enumerate(html)] + [(3, "again", "<p>a</p>", "d", "t", "r", "i"), (None, None, "lone", "d", "t", "r", "i"), (None, None, "", "d", "t", "r", "i")]
     archives = warc.write(spark.createDataFrame(data, schema).repartition(2), warc.new_folder(spark))
     assert archives.agg(F.sum("records")).first()[0] == len(data)
+    assert warc.read(archives).rdd.getNumPartitions() == archives.count() == 2  # a task for each archive
     out = warc.read(archives, payloads=True).collect()
     want = []
     for k, url, h, *_ in data:
