@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SALIENCE, identity_key, norm_identity, signature_tokens, strip
 
+#: What a similarity across domains counts.
+DOMAIN_FACTOR = 0.3
+
 
 def label_index(concepts: DataFrame) -> DataFrame:
     """(label, id) for labels that point at exactly one concept."""
@@ -33,19 +36,41 @@ def _tokens(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col("id").alias(key), F.lower(strip(have("domain", "string"))).alias(f"domain_{key}"), signature_tokens(*text).alias(f"tokens_{key}"))
 
 
+def _prefixed(df: DataFrame, k: str, frequency: DataFrame) -> DataFrame:
+    """(k, domain, tokens) with the tokens in rising frequency."""
+    rows = df.select(k, F.explode(f"tokens_{k}").alias("token")).join(frequency, "token")
+    rows = rows.groupBy(k).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"]).alias(f"tokens_{k}"))
+    return df.select(k, f"domain_{k}").join(rows, k)
+
+
 def similar_pairs(texts: DataFrame, concepts: DataFrame, least: float) -> DataFrame:
-    """(q, c, similarity) of texts and concepts that share a signature token; Jaccard, less where domains differ.
+    """(q, c, similarity) of texts and concepts with a Jaccard similarity of signature tokens from `least` on, less where domains differ.
 
-    Pairs come from an inverted index on tokens. A pair below the size ratio that `least` allows is never counted.
+    Two sets of n tokens that are so similar share one of the n - ceil(least n) + 1 rarest of either, so only these are
+    indexed, and sets of one domain (or none) meet by token and domain. Sets of different domains need a similarity that is higher
+    by the factor, hence fewer tokens, and none can reach it where it is above 1. A pair is compared once,
+    at the rarest token that both index.
     """
     q, c = _tokens(texts, "q"), _tokens(concepts, "c")
-    side = lambda df, k: df.select(k, f"domain_{k}", F.size(f"tokens_{k}").alias(f"n_{k}"), F.explode(f"tokens_{k}").alias("token"))
-    meet = side(q, "q").join(side(c, "c"), "token")
-    meet = meet.where((F.col("n_q") >= least * F.col("n_c")) & (F.col("n_c") >= least * F.col("n_q")))
-    both = meet.groupBy("q", "c", "n_q", "n_c", "domain_q", "domain_c").agg(F.count("*").alias("k"))
+    every = q.select(F.explode("tokens_q").alias("token")).union(c.select(F.explode("tokens_c").alias("token")))
+    frequency = every.groupBy("token").agg(F.count("*").alias("f"))
+    q, c = _prefixed(q, "q", frequency), _prefixed(c, "c", frequency)
+    first = lambda k, t: F.slice(f"tokens_{k}", 1, F.size(f"tokens_{k}") - F.ceil(F.size(f"tokens_{k}") * t - 1e-9).cast("int") + 1)
+    side = lambda df, k, t: df.withColumn(f"p_{k}", first(k, t)).select("*", F.explode(f"p_{k}").alias("token"))
+    same_q, same_c = side(q, "q", least), side(c, "c", least)
+    named = lambda df, k: df.where(F.col(f"domain_{k}") != "")
+    plain = lambda df, k: df.where(F.col(f"domain_{k}") == "")
+    own = named(same_q, "q").withColumn("d", F.col("domain_q")).join(named(same_c, "c").withColumn("d", F.col("domain_c")), ["token", "d"]).drop("d")
+    meet = own.unionByName(same_q.join(plain(same_c, "c"), "token")).unionByName(plain(same_q, "q").join(named(same_c, "c"), "token"))
+    if (apart := least / DOMAIN_FACTOR) <= 1 + 1e-9:
+        far = named(side(q, "q", apart), "q").join(named(side(c, "c", apart), "c"), "token").where("domain_q <> domain_c")
+        meet = meet.unionByName(far)
+    meet = meet.where(F.col("token") == F.element_at(F.array_intersect("p_q", "p_c"), 1))
+    k = F.size(F.array_intersect("tokens_q", "tokens_c"))
+    rows = meet.select("q", "c", "domain_q", "domain_c", F.size("tokens_q").alias("n_q"), F.size("tokens_c").alias("n_c"), k.alias("k"))
     jaccard = F.col("k") / (F.col("n_q") + F.col("n_c") - F.col("k"))
-    apart = (F.col("domain_q") != "") & (F.col("domain_c") != "") & (F.col("domain_q") != F.col("domain_c"))
-    return both.select("q", "c", F.when(apart, jaccard * 0.3).otherwise(jaccard).alias("similarity")).where(F.col("similarity") >= least)
+    other = (F.col("domain_q") != "") & (F.col("domain_c") != "") & (F.col("domain_q") != F.col("domain_c"))
+    return rows.select("q", "c", F.when(other, jaccard * DOMAIN_FACTOR).otherwise(jaccard).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def find_similar(texts: DataFrame, concepts: DataFrame, least: float = 0.3, limit: int = 5) -> DataFrame:

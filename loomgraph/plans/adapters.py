@@ -40,9 +40,9 @@ STATEMENTS = {
             s.n - 2 AS reinforcement_count, s.last_reinforced AS last_reinforced, x.p_size > 25 AS is_explicit
         FROM ({sightings}) AS s JOIN (SELECT concat('p', CAST(p_partkey AS STRING)) AS pid, p_size FROM {part}) AS x ON x.pid = s.a
         JOIN (SELECT concat('p', CAST(p_partkey AS STRING)) AS pid, p_size FROM {part}) AS y ON y.pid = s.b WHERE s.n >= 2""",
-    # Queries start from the concepts of the most expensive orders.
+    # Activation is a search: every order whose number is divisible by 20 is a query, against the whole graph.
     "seeds": """SELECT DISTINCT concat('q', CAST(o_orderkey AS STRING)) AS query_id, concat('p', CAST(l_partkey AS STRING)) AS id
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_totalprice > 49e4""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0""",
     "colors": """SELECT m.concept AS id, m.task AS label, least(9e-1, 5e-2 * count(*)) AS strength FROM ({mentions}) AS m GROUP BY m.concept, m.task""",
 }
 
