@@ -7,9 +7,10 @@
    gets one edge to the bucket's centre (the member that meets most others), never one to each other.
 4. Edges are confirmed on full sets. Jaccard distance is a metric, so a confirmed or refuted edge also tells which
    other members of the bucket can still be near: those whose distance from the centre differs
-   by no more than the threshold's. Members that are still apart are then tested with each other
-   unless an exact bound excludes it: shingles that no other such document has can't be shared. This
-   is the exact way for buckets in which the star does not settle everything; it has no cap.
+   by no more than the threshold's. Shingles that no other such document has can't be shared, and the classes
+   that the others fall in (a bitmap of a fixed size) bound what two of them share. Members that are still apart are
+   tested with each other unless one of these exact bounds excludes it: the exact way for buckets in which the
+   star does not settle everything; it has no cap.
 5. Links make connected components.
 
 Two sets that should be linked share no bucket with a probability of about 1e-8 at a threshold of 85 and 1e-5 at 80 (at the threshold; less above).
@@ -41,6 +42,8 @@ SHINGLE = 5
 ATTEMPTS = 2048
 #: Members of a star that are compared with its centre in one group; a larger star is dealt to several, each with the centre's set.
 STAR_ROWS = 256
+#: Words of the bitmap of a set's classes of shingles that bounds what two sets can share.
+CLASS_WORDS = 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BASE = 0xD1B54A32D192ED03
 
@@ -242,7 +245,12 @@ def link_pairs(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     ids = rest.select("id").distinct()
     inside = sets.join(ids, "id").select("id", F.size("set").alias("size"), F.explode("set").alias("h"))
     shared = inside.select("id", "h").join(inside.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h", "left_semi")
-    shared = shared.groupBy("id").agg(F.count("*").alias("most"))  # no partner has more of its shingles in common
+    spot = F.shiftrightunsigned("h", 64 - (64 * CLASS_WORDS).bit_length() + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    words = [f"w{i}" for i in range(CLASS_WORDS)]
+    shared = shared.groupBy("id").agg(F.count("*").alias("most"), *[F.bit_or(F.when(F.shiftright(spot, 6) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
+    shared = shared.withColumn("extra", F.col("most") - sum(F.bit_count(w) for w in words))  # shingles beyond one a class
+    # No partner has more of its shingles in common than `most`.
     smallest = rest.groupBy("key").agg(F.min("n").alias("k")).join(rest.select("key", "id"), "key").groupBy("id").agg(F.min("k").alias("least"))
     bands = classes.select("id", "bands")
     rest = rest.join(shared, "id").join(smallest, "id").join(bands, "id")
@@ -250,11 +258,13 @@ def link_pairs(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     rest = cut(_unsettled(rest.where(possible).drop("label", "least"), labels))
     x, y = rest.alias("x"), rest.alias("y")
     most = F.least("x.most", "y.most", "x.n", "y.n")
+    classes_met = sum(F.bit_count(F.col(f"x.{w}").bitwiseAND(F.col(f"y.{w}"))) for w in words) + F.least("x.extra", "y.extra")
     once = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # of the buckets that two share, one
     open_pairs = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & _near(most, F.col("x.n"), F.col("y.n"), threshold) & once,
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & _near(most, F.col("x.n"), F.col("y.n"), threshold)
+        & _near(F.least(most, classes_met), F.col("x.n"), F.col("y.n"), threshold) & once,
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = cut(_measured(open_pairs, sets)).where(near).select("a", "b")
     return links.union(more)
