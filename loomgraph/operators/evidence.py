@@ -46,13 +46,17 @@ def _running(kind: str, key: list[str], order: list[str]) -> Column:
     return F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(w)
 
 
-def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
+def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id"), state: DataFrame | None = None) -> DataFrame:
     """events (concept, ts, obs_id, kind activate or weaken) -> confidence, counts, last times.
 
-    The n-th activation adds .06/(1+.08n) up to 1, the n-th weakening takes the same down to .01.
+    The n-th activation adds .06/(1+.08n) up to 1, the n-th weakening takes the same down to .01. `state` has the
+    same columns from an earlier fold: its concepts go on from there, those without events stay as they are.
     """
     o = list(order)
     rows = events.withColumn("_a", _running("activate", [key], o)).withColumn("_w", _running("weaken", [key], o))
+    if state is not None:
+        was = state.select(key, F.col("activation_count").alias("_a0"), F.col("disconfirmation_count").alias("_w0"))
+        rows = rows.join(was, key, "left").withColumns({"_a": F.col("_a") + F.coalesce("_a0", F.lit(0)), "_w": F.col("_w") + F.coalesce("_w0", F.lit(0))})
     up = F.col("kind") == "activate"
     d = F.when(up, 0.06 / (1 + 0.08 * F.col("_a"))).otherwise(-0.06 / (1 + 0.08 * F.col("_w")))
     lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, 1.0).otherwise(float("inf"))
@@ -61,7 +65,14 @@ def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept",
         F.count_if(F.col("kind") == "activate").alias("activation_count"), F.count_if(F.col("kind") == "weaken").alias("disconfirmation_count"),
         F.max(F.when(F.col("kind") == "activate", F.col("ts"))).alias("last_activated"), F.max(F.when(F.col("kind") == "weaken", F.col("ts"))).alias("last_weakened"),
     )
-    return steps.join(counts, key).select(key, apply_step(F.lit(start), F.col("step")).alias("confidence"), "activation_count", "disconfirmation_count", "last_activated", "last_weakened")
+    if state is None:
+        return steps.join(counts, key).select(key, apply_step(F.lit(start), F.col("step")).alias("confidence"), "activation_count", "disconfirmation_count", "last_activated", "last_weakened")
+    was = state.select(key, *[F.col(c).alias(f"_{c}") for c in ("confidence", "activation_count", "disconfirmation_count", "last_activated", "last_weakened")])
+    out = steps.join(counts, key).join(was, key, "full_outer")
+    begin = F.coalesce("_confidence", F.lit(start))
+    total = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    last = lambda c: F.greatest(c, f"_{c}").alias(c)
+    return out.select(key, F.when(F.col("step").isNull(), begin).otherwise(apply_step(begin, F.col("step"))).alias("confidence"), total("activation_count"), total("disconfirmation_count"), last("last_activated"), last("last_weakened"))
 
 
 def fold_activations(mentions: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
@@ -95,21 +106,26 @@ def reinforced(weight: Column, n: Column, explicit: bool) -> Column:
 
 
 def fold_relations(events: DataFrame, births: DataFrame, key: list[str], order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
-    """Confidence and weight of explicit edges after events of kind reinforce or weaken.
+    """Confidence and weight of edges after events of kind reinforce or weaken.
 
-    births: key, weight, confidence. The n-th reinforcement adds .08/(1+.05n) up to 1; the n-th weakening takes .06/(1+.10n) down to .01.
+    births: key, weight, confidence, and where they differ from an explicit edge without a past: is_explicit, reinforcement_count,
+    disconfirmation_count. The n-th reinforcement of an explicit edge adds .08/(1+.05n) up to 1, of a found one .06/(1+.15n) up to .7; the
+    n-th weakening takes .06/(1+.10n) down to .01.
     """
     o = list(order)
-    rows = events.withColumn("_r", _running("reinforce", key, o)).withColumn("_w", _running("weaken", key, o))
-    up = F.col("kind") == "reinforce"
-    d = F.when(up, 0.08 / (1 + 0.05 * F.col("_r"))).otherwise(-0.06 / (1 + 0.10 * F.col("_w")))
-    lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, 1.0).otherwise(float("inf"))
+    zero = F.lit(0).cast("long")
+    births = births.withColumns({c: v for c, v in {"is_explicit": F.lit(True), "reinforcement_count": zero, "disconfirmation_count": zero}.items() if c not in births.columns})
+    was = births.select(*key, "is_explicit", F.col("reinforcement_count").alias("_r0"), F.col("disconfirmation_count").alias("_w0"))
+    rows = events.withColumn("_r", _running("reinforce", key, o)).withColumn("_w", _running("weaken", key, o)).join(was, key)
+    up, n, m = F.col("kind") == "reinforce", F.col("_r") + F.col("_r0"), F.col("_w") + F.col("_w0")
+    d = F.when(up, F.when(F.col("is_explicit"), 0.08 / (1 + 0.05 * n)).otherwise(0.06 / (1 + 0.15 * n))).otherwise(-0.06 / (1 + 0.10 * m))
+    lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, F.when(F.col("is_explicit"), 1.0).otherwise(0.7)).otherwise(float("inf"))
     steps = fold_steps(rows, key, o, d, lo, hi)
-    counts = events.groupBy(*key).agg(F.count_if(F.col("kind") == "reinforce").alias("reinforcement_count"), F.count_if(F.col("kind") == "weaken").alias("disconfirmation_count"))
+    counts = events.groupBy(*key).agg(F.count_if(F.col("kind") == "reinforce").alias("_r"), F.count_if(F.col("kind") == "weaken").alias("_w"))
     out = births.join(steps, key, "left").join(counts, key, "left")
     step = lambda c: F.when(F.col("step").isNull(), F.col(c)).otherwise(apply_step(F.col(c), F.col("step")))
-    zero = F.lit(0).cast("long")
-    return out.select(*key, step("weight").alias("weight"), step("confidence").alias("confidence"), F.coalesce("reinforcement_count", zero).alias("reinforcement_count"), F.coalesce("disconfirmation_count", zero).alias("disconfirmation_count"))
+    total = lambda c, x: (F.col(c) + F.coalesce(x, zero)).alias(c)
+    return out.select(*key, step("weight").alias("weight"), step("confidence").alias("confidence"), total("reinforcement_count", "_r"), total("disconfirmation_count", "_w"))
 
 
 def update_probability(p: Column, strength: Column, prior: Column, prior_strength: Column, evidence: Column, evidence_strength: Column) -> Column:

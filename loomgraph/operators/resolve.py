@@ -162,6 +162,14 @@ def resolve_endpoints(rows: DataFrame, local: DataFrame, concepts: DataFrame) ->
     return rows.where("source_id is not null and target_id is not null and source_id <> target_id")
 
 
+def resolve_refs(rows: DataFrame, local: DataFrame, concepts: DataFrame, ref: str = "name") -> DataFrame:
+    """rows (obs_id, name, ...) with `concept`: of the observation's own names (obs_id, ref, id) first, then of labels; others go."""
+    near = local.select("obs_id", F.lower(strip(F.col("ref"))).alias("_r"), F.col("id").alias("_near")).groupBy("obs_id", "_r").agg(F.min("_near").alias("_near"))
+    far = label_index(concepts).select(F.col("label").alias("_r"), F.col("id").alias("_far"))
+    out = rows.withColumn("_r", F.lower(strip(F.col(ref)))).join(near, ["obs_id", "_r"], "left").join(far, "_r", "left")
+    return out.withColumn("concept", F.coalesce("_near", "_far")).where("concept is not null").drop("_r", "_near", "_far")
+
+
 def merge_concepts(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Concepts folded into their keepers. mapping: (old, keeper), chains resolved.
 
