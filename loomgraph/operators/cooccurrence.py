@@ -10,17 +10,17 @@ from .evidence import reinforced
 PAIR_CAP = 30
 
 
-def mention_pairs(mentions: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
-    """(a, b, obs_id, ts) with a < b: the pairs of each observation, of its first 30 pairs by id where it has more.
+def mention_pairs(mentions: DataFrame, cap: int | None = PAIR_CAP) -> DataFrame:
+    """(a, b, obs_id, ts) with a < b: the pairs of each observation, of its first 30 pairs by id where it has more; all with None.
 
     The cap is the operator's definition: an observation with very many concepts says little about any two of them.
     """
     seen = mentions.select("obs_id", "ts", "concept").distinct()
     each = seen.groupBy("obs_id", "ts").agg(F.array_sort(F.collect_set("concept")).alias("c"))
     # The first pairs by id only need the first concepts; a pair is built inside its row, not by a join.
-    tops = each.select("obs_id", "ts", F.slice("c", 1, cap + 1).alias("c"))
+    tops = each if cap is None else each.select("obs_id", "ts", F.slice("c", 1, cap + 1).alias("c"))
     pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, F.greatest(F.size("c"), F.lit(1))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return tops.select("obs_id", "ts", F.explode(F.slice(pairs, 1, cap)).alias("p")).select("p.a", "p.b", "obs_id", "ts")
+    return tops.select("obs_id", "ts", F.explode(pairs if cap is None else F.slice(pairs, 1, cap)).alias("p")).select("p.a", "p.b", "obs_id", "ts")
 
 
 def cooccurrence_edges(pairs: DataFrame, birth: float = 0.15) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import color_purity, is_bridge
 from ..functions.vocabulary import axis_factor
 from .graph import adjacency
 
@@ -13,12 +14,30 @@ MATURITY_WEIGHT = {"embryonic": 0.50, "developing": 0.75, "established": 1.00, "
 IMPLICIT = 0.75
 
 
-def world_status(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: how many concepts, of each maturity, mean confidence, relations by kind."""
+def world_status(concepts: DataFrame, edges: DataFrame, communities: DataFrame | None = None, colors: DataFrame | None = None) -> DataFrame:
+    """One row: how many concepts, of each maturity, mean confidence, relations by kind; communities (id, member_ids, stability) and how many of them give a
+    colour; bridges and mean purity of the concepts that have colours (id, label, strength); entropies of network and relation types."""
     count = lambda m: F.count_if(F.col("maturity") == m).alias(f"n_{m}")
-    c = concepts.agg(F.count("*").alias("concepts"), *map(count, MATURITY_WEIGHT), F.avg("confidence").alias("avg_confidence"))
-    e = edges.agg(F.count("*").alias("relations"), F.count_if("is_explicit").alias("explicit_relations"), F.avg("weight").alias("avg_weight"))
-    return c.join(F.broadcast(e))  # two tables of one row
+    out = concepts.agg(F.count("*").alias("concepts"), *map(count, MATURITY_WEIGHT), F.avg("confidence").alias("avg_confidence"))
+    parts = [edges.agg(F.count("*").alias("relations"), F.count_if("is_explicit").alias("explicit_relations"), F.avg("weight").alias("avg_weight"))]
+    if communities is not None:
+        stable = (F.col("stability") >= 2) & (F.size("member_ids") >= 3)
+        parts.append(communities.agg(F.count("*").alias("communities"), F.count_if(stable).alias("stable_communities")))
+    if colors is not None:
+        profile = colors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "strength"))).alias("p"))  # a concept's few labels
+        profile = profile.join(concepts.select("id"), "id", "left_semi")
+        parts.append(profile.agg(F.count_if(is_bridge(F.col("p"))).alias("bridges"), F.coalesce(F.avg(color_purity(F.col("p"))), F.lit(1.0)).alias("avg_purity")))
+        parts.append(network_entropy(concepts, edges).select(F.col("entropy").alias("network_entropy"), F.col("high").alias("high_entropy")))
+        parts.append(axis_entropy(edges).select(F.col("entropy").alias("type_entropy")))
+    for part in parts:  # tables of one row
+        out = out.join(F.broadcast(part))
+    return out
+
+
+def jaccard_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, distance) of two selections (query_id, id): 1 minus what both have of what either has."""
+    both = a.select("query_id", "id", F.lit(1).alias("a")).distinct().join(b.select("query_id", "id", F.lit(1).alias("b")).distinct(), ["query_id", "id"], "full_outer")
+    return both.groupBy("query_id").agg((1 - F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / F.count("*")).alias("distance"))
 
 
 def masses(edges: DataFrame) -> DataFrame:

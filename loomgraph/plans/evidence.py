@@ -86,6 +86,13 @@ def cooccurrence(t: Inputs):
     return e.select("a", "b", "sightings", R4("weight").alias("weight"), "discovered_at", "last_reinforced")
 
 
+@query("d07_cooccurrence_all", """WITH p AS (SELECT a.concept AS a, b.concept AS b, a.ts FROM {name_mentions} a JOIN {name_mentions} b ON a.obs_id = b.obs_id AND a.concept < b.concept)
+    SELECT a, b, count(*) AS sightings, max(ts) AS last_reinforced FROM p GROUP BY 1, 2 HAVING count(*) >= 2""")
+def every_pair(t: Inputs):
+    """All pairs of each observation."""
+    return C.cooccurrence_edges(C.mention_pairs(t.name_mentions, None)).select("a", "b", "sightings", "last_reinforced")
+
+
 @query("d07_cooccurrence_sparse", """WITH r AS (SELECT obs_id, ts, concept FROM {mentions}), p AS (SELECT a.obs_id, a.ts, a.concept AS a, b.concept AS b, row_number() OVER (PARTITION BY a.obs_id ORDER BY a.concept, b.concept) AS k FROM r a JOIN r b ON a.obs_id = b.obs_id AND a.concept < b.concept)
     SELECT a, b, count(*) AS sightings, max(ts) AS last_reinforced FROM p WHERE k <= 30 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def sparse(t: Inputs):

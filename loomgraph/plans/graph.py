@@ -213,10 +213,19 @@ def axes(t: Inputs):
     return Q.axis_entropy(t.edges).select("axes", F.round("entropy", 5).alias("entropy"), *[F.round(f"{a}_mass", 3).alias(f"{a}_mass") for a in ("positive", "negative", "parallel")])
 
 
-@query("d15_world_status", """SELECT (SELECT count(*) FROM {concepts}) AS concepts, (SELECT count(*) FROM {concepts} WHERE maturity = 'embryonic') AS n_embryonic, (SELECT count(*) FROM {concepts} WHERE maturity = 'developing') AS n_developing, (SELECT count(*) FROM {concepts} WHERE maturity = 'established') AS n_established,
-    0::BIGINT AS n_core, 0::BIGINT AS n_fading, (SELECT round(avg(confidence), 5) FROM {concepts}) AS avg_confidence, count(*) AS relations, count(*) FILTER (is_explicit) AS explicit_relations, round(avg(weight), 5) AS avg_weight FROM {edges}""")
+@query("d15_world_status", f"""WITH {ENTROPY}, {{W}}, g AS (SELECT domain, count(*) AS n, count(*) FILTER (maturity = 'established') AS e FROM {{concepts}} GROUP BY 1),
+    k AS (SELECT id, strength, row_number() OVER (PARTITION BY id ORDER BY strength DESC, label) AS r, sum(strength) OVER (PARTITION BY id) AS total FROM {{colors}}),
+    q AS (SELECT id, max(strength) FILTER (r = 1) / max(total) AS purity, coalesce(max(strength) FILTER (r = 2) >= 0.08 AND max(strength) FILTER (r = 2) / max(strength) >= 0.55, false) AS bridge FROM k GROUP BY 1),
+    t AS (SELECT axis, sum(mass) AS m FROM m GROUP BY 1), u AS (SELECT m / sum(m) OVER () AS p FROM t)
+    SELECT (SELECT count(*) FROM {{concepts}}) AS concepts, (SELECT count(*) FROM {{concepts}} WHERE maturity = 'embryonic') AS n_embryonic, (SELECT count(*) FROM {{concepts}} WHERE maturity = 'developing') AS n_developing, (SELECT count(*) FROM {{concepts}} WHERE maturity = 'established') AS n_established,
+    (SELECT count(*) FROM {{concepts}} WHERE maturity = 'core') AS n_core, (SELECT count(*) FROM {{concepts}} WHERE maturity = 'fading') AS n_fading, (SELECT round(avg(confidence), 5) FROM {{concepts}}) AS avg_confidence, count(*) AS relations, count(*) FILTER (is_explicit) AS explicit_relations, round(avg(weight), 5) AS avg_weight,
+    (SELECT count(*) FROM g) AS communities, (SELECT count(*) FROM g WHERE e >= 2 AND n >= 3) AS stable_communities, (SELECT count(*) FROM q WHERE bridge) AS bridges, (SELECT round(avg(purity), 5) FROM q) AS avg_purity,
+    (SELECT round(sum(entropy * w) / sum(w) FILTER (entropy IS NOT NULL), 5) FROM w) AS network_entropy, (SELECT count(*) FILTER (entropy >= 7e-1) FROM w) AS high_entropy, (SELECT round(-sum(p * log2(p)) / log2(count(*)), 5) FROM u) AS type_entropy FROM {{edges}}""".replace("{W}", "w AS (SELECT c.id, entropy, greatest(confidence, 5e-2) * CASE maturity WHEN 'embryonic' THEN 5e-1 WHEN 'developing' THEN 75e-2 WHEN 'established' THEN 1e0 WHEN 'core' THEN 12e-1 ELSE 35e-2 END AS w FROM {concepts} c LEFT JOIN h ON h.id = c.id)"))
 def status(t: Inputs):
-    return Q.world_status(t.concepts, t.edges).withColumns({"avg_confidence": F.round("avg_confidence", 5), "avg_weight": F.round("avg_weight", 5)})
+    """The domains stand for communities, as stable as they have established concepts."""
+    groups = t.concepts.groupBy(F.col("domain").alias("id")).agg(F.collect_list("id").alias("member_ids"), F.count_if(F.col("maturity") == "established").alias("stability"))
+    out = Q.world_status(t.concepts, t.edges, groups, t.colors)
+    return out.withColumns({c: F.round(c, 5) for c in ("avg_confidence", "avg_weight", "avg_purity", "network_entropy", "type_entropy")})
 
 
 RANKED = "ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM net), rel AS (SELECT query_id, id, 1 AS rel FROM {seeds})"
@@ -257,3 +266,9 @@ def perspective(t: Inputs):
 
     own = F.create_map(F.lit("positive"), F.lit(0.5))
     return t.edges.select("source_id", "target_id", F.round(F.col("weight") * F.coalesce(F.element_at(own, F.col("axis")), axis_factor(F.col("axis"))), 5).alias("strength"))
+
+
+@query("j01_jaccard_distance", "WITH " + ACTIVE + ", " + RANKED + """, b AS (SELECT coalesce(r.query_id, s.query_id) AS query_id, r.id IS NOT NULL AND s.id IS NOT NULL AS common FROM (SELECT * FROM ranked WHERE rank <= 5) r FULL JOIN rel s ON s.query_id = r.query_id AND s.id = r.id)
+    SELECT query_id, round(1 - count(*) FILTER (common)::DOUBLE / count(*), 4) AS distance FROM b GROUP BY 1""")
+def distance(t: Inputs):
+    return Q.jaccard_distance(_ranked(t), t.seeds).withColumn("distance", F.round("distance", 4))

@@ -41,10 +41,12 @@ def index(t: Inputs):
 
 
 @query("a07_search_sources", f"""WITH {SOURCE}, {TOKENS}, q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: len(x) >= 2))) AS token FROM benchmark),
-    s AS (SELECT query_id, id, count(*) AS score FROM q JOIN tok USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 10""")
+    c AS (SELECT id, CASE WHEN source <> 'src0' THEN lower(task || ' ' || source || ' the text of ' || source) END AS names FROM src),
+    s AS (SELECT query_id, id, count(*) AS score FROM (SELECT query_id, id FROM q JOIN tok USING (token) UNION ALL SELECT query_id, id FROM q JOIN c ON contains(names, token)) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 10""")
 def search(t: Inputs):
     s = _sources(t)
-    return T.search_sources(T.build_source_index(s), s, t.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", "rank", "id", "score")
+    obs = s.where("source <> 'src0'").select(F.col("id").alias("source_id"), F.array("task", "source", F.concat(F.lit("The text of "), "source")).alias("concepts"), F.array(F.lit(1)).alias("relations"))
+    return T.search_sources(T.build_source_index(s), T.attach_extraction(s, obs), t.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", "rank", "id", "score")
 
 
 @query("a09_extract_page_text")
@@ -57,6 +59,16 @@ def links(t: Inputs):
     return T.extract_links(t.pages)
 
 
+@query("a09_page_text_whole")
+def whole_page_text(t: Inputs):
+    return T.extract_page_text(t.pages, None)
+
+
+@query("a10_all_links")
+def all_links(t: Inputs):
+    return T.extract_links(t.pages, None)
+
+
 @query("a11_filter_by_domain", r"SELECT page_id FROM pages WHERE regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:]*)', 1) IN (SELECT DISTINCT regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:]*)', 1) FROM pages WHERE url LIKE 'https%')")
 def by_domain(t: Inputs):
     return T.filter_by_domain(t.pages, t.pages.where("url like 'https%'").select(F.col("url").alias("domain"))).select("page_id")
@@ -70,6 +82,37 @@ def responses(t: Inputs):
     return rel
 
 
+SHAPES = """(SELECT event_id, user_id, event_type, event_id % 5 AS k FROM events)"""
+
+
+def _shapes(t: Inputs):
+    """Responses of several shapes: strings and objects, lists and objects, fences, ends that are no concepts, broken JSON."""
+    e, k = t.events, F.col("event_id") % 5
+    user, kind = F.concat(F.lit("u"), "user_id"), F.col("event_type")
+    put = lambda text: F.replace(F.replace(F.lit(text), F.lit("USER"), user), F.lit("KIND"), kind)
+    raw = F.when(k == 0, put('{"concepts": ["KIND", "USER"], "weakened": ["Kind", "USER"], "contradicted_relations": [["USER", "KIND", "supports"]]}'.replace("Kind", "KIND")))
+    raw = raw.when(k == 1, put('Here: ```json\n{"concepts": [{"name": "KIND", "uid": "x1", "aliases": ["it"]}, "USER"], "weakened": ["X1", "stranger"], "contradicted_relations": [{"source": "it", "target": "USER", "label": "part_of"}]}\n```'))
+    raw = raw.when(k == 2, put('{"concepts": ["USER"], "contradicted_relations": [["USER", "nobody", "supports"]]} and more'))
+    raw = raw.when(k == 3, put('{"concepts": [broken')).otherwise(put('{"concepts": ["KIND"], "relations": [], "weakened": []}'))
+    return e.select(F.col("event_id").alias("obs_id"), raw.alias("raw"))
+
+
+@query("a12_weakened", f"""SELECT event_id AS obs_id, event_type AS name FROM {SHAPES} WHERE k IN (0, 1) UNION ALL SELECT event_id, 'u' || user_id FROM {SHAPES} WHERE k = 0 UNION ALL SELECT event_id, 'stranger' FROM {SHAPES} WHERE k = 1""")
+def weakened(t: Inputs):
+    return T.disconfirmations_from_responses(_shapes(t))[0]
+
+
+@query("a12_contradicted", f"""SELECT event_id AS obs_id, 'u' || user_id AS source, event_type AS target, 'supports' AS label, false AS dropped FROM {SHAPES} WHERE k = 0
+    UNION ALL SELECT event_id, event_type, 'u' || user_id, 'part_of', false FROM {SHAPES} WHERE k = 1 UNION ALL SELECT event_id, 'u' || user_id, 'nobody', 'supports', true FROM {SHAPES} WHERE k = 2""")
+def contradicted(t: Inputs):
+    return T.disconfirmations_from_responses(_shapes(t))[1]
+
+
+@query("a12_response_report", f"""SELECT event_id AS obs_id, k <> 3 AS valid, CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS concepts, 0 AS relations, CASE WHEN k < 2 THEN 2 ELSE 0 END AS weakened, CASE WHEN k < 3 THEN 1 ELSE 0 END AS contradicted FROM {SHAPES}""")
+def report(t: Inputs):
+    return T.response_report(_shapes(t))
+
+
 @query("a13_split_texts", r"SELECT doc_id, 'batch_' || i AS source, md5(x) AS chunk FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents))")
 def split(t: Inputs):
     return T.split_texts(t.documents.select("doc_id", "text"), sep="\n").select("doc_id", "source", F.md5("chunk").alias("chunk"))
