@@ -25,15 +25,23 @@ def needs_compaction(messages: DataFrame, threshold: int = 48, preserve: int = 1
     return n.select("conv_id", "n", ((F.col("n") > threshold) & (F.greatest(F.lit(0), F.col("n") - preserve) >= min_new)).alias("needed"))
 
 
-def compact_sessions(messages: DataFrame, keep: int = 3, k: int = 6) -> DataFrame:
-    """(conv_id, goals, outcome, seeds, covered): a summary without a model: last questions, last answer, key words."""
+def compact_sessions(messages: DataFrame, keep: int = 3, k: int = 6, turns: DataFrame | None = None, loops: int = 4) -> DataFrame:
+    """(conv_id, goals, outcome, seeds, covered, open_loops): a summary without a model: last questions, last answer, key words, and of the turns
+    (conv_id, turn, failure_class) the last ones that failed."""
     user = messages.where("role = 'user'").withColumn("r", F.row_number().over(newest_first()))
     goals = user.where(F.col("r") <= keep).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", excerpt(F.col("text"), 120).alias("t")))), lambda x: x["t"]).alias("goals"))
     words = user.where("r <= 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", keyword_seeds(F.col("text"), 5).alias("w")))).alias("w"))
     seeds = words.select("conv_id", F.slice(F.array_distinct(F.flatten(F.transform("w", lambda x: x["w"]))), 1, k).alias("seeds"))
     last = messages.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(excerpt(F.col("text"), 160), "turn").alias("outcome"))
     n = messages.groupBy("conv_id").agg(F.count("*").alias("covered"))
-    return n.join(goals, "conv_id", "left").join(seeds, "conv_id", "left").join(last, "conv_id", "left")
+    out = n.join(goals, "conv_id", "left").join(seeds, "conv_id", "left").join(last, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    if turns is None:
+        return out.withColumn("open_loops", none)
+    failed = turns.where("failure_class <> 'none'").withColumn("r", F.row_number().over(newest_first())).where(F.col("r") <= loops)
+    told = F.format_string("Turn %s ended with %s.", F.col("turn").cast("string"), "failure_class")
+    open_ = failed.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", told.alias("t")))), lambda x: x["t"]).alias("open_loops"))
+    return out.join(open_, "conv_id", "left").withColumn("open_loops", F.coalesce("open_loops", none))
 
 
 def session_context(messages: DataFrame, summaries: DataFrame | None = None, most: int = 50, preserve: int = 16) -> DataFrame:
@@ -53,14 +61,15 @@ def session_context(messages: DataFrame, summaries: DataFrame | None = None, mos
     return head.union(recent)
 
 
-def list_sessions(messages: DataFrame, compacted: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """(conv_id, n, last_turn, last_role, state): the longest sessions first; limit is the listing's length."""
+def list_sessions(messages: DataFrame, compacted: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
+    """(conv_id, n, last_turn, last_role, state): the longest sessions first; limit is the listing's length, None for all of them."""
     out = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
     state = F.when(F.col("last_role") == "user", "attention_needed").otherwise("active")
     if compacted is not None:
         out = out.join(compacted.select("conv_id", F.lit(True).alias("_c")), "conv_id", "left")
         state = F.when(F.col("last_role") == "user", "attention_needed").when(F.col("_c"), "compacted").otherwise("active")
-    return out.select("conv_id", "n", "last_turn", "last_role", state.alias("state")).orderBy(F.desc("n"), "conv_id").limit(limit)
+    out = out.select("conv_id", "n", "last_turn", "last_role", state.alias("state"))
+    return out if limit is None else out.orderBy(F.desc("n"), "conv_id").limit(limit)
 
 
 def paired_turns(messages: DataFrame) -> DataFrame:

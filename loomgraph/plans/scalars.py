@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from .sqltext import SEEDS
 from .registry import Inputs, query
 
 STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
@@ -139,7 +140,17 @@ def profile(t: Inputs):
     return p.select("id", F.round(S.color_purity(F.col("p")), 6).alias("purity"), S.sorted_profile(F.col("p"))[0]["key"].alias("dominant"), S.is_bridge(F.col("p")).alias("bridge"))
 
 
-@query("b13_label_color")
+def _shade(spread: float) -> str:
+    """A label's colour in SQL: hue, saturation and lightness from its SHA-1, then RGB."""
+    byte = lambda i: f"('0x' || substr(h, {2 * i + 1}, 2))::INT"
+    part = lambda d: f"(hue + ({d}) - floor(hue + ({d})))"
+    value = lambda d: f"round_even((CASE WHEN {part(d)} < 1e0 / 6 THEN lo + (hi - lo) * {part(d)} * 6 WHEN {part(d)} < 0.5 THEN hi WHEN {part(d)} < 2e0 / 3 THEN lo + (hi - lo) * (2e0 / 3 - {part(d)}) * 6 ELSE lo END) * 255, 0)::INT"
+    rgb = " || ".join(f"printf('%02x', {value(d)})" for d in ("1e0 / 3", "0", "-1e0 / 3"))
+    return f"""(SELECT p_name, '#' || {rgb} AS color FROM (SELECT *, 2 * l - hi AS lo FROM (SELECT *, CASE WHEN l <= 0.5 THEN l * (1 + s) ELSE l + s - l * s END AS hi FROM (
+        SELECT p_name, (({byte(0)} * 256 + {byte(1)}) % 360) / 360e0 AS hue, 55e-2 + {byte(2)} / 255e0 * {spread}e0 AS s, 48e-2 + {byte(3)} / 255e0 * 12e-2 AS l FROM (SELECT DISTINCT p_name, sha1(lower(trim(p_name))) AS h FROM part)))))"""
+
+
+@query("b13_label_color", f"SELECT a.p_name, a.color, b.color AS community_color FROM {_shade(0.15)} a JOIN {_shade(0.2)} b USING (p_name)")
 def color(t: Inputs):
     return t.part.select("p_name").distinct().select("p_name", S.label_color(F.col("p_name")).alias("color"), S.label_color(F.col("p_name"), 0.2).alias("community_color"))
 
@@ -160,7 +171,7 @@ def short(t: Inputs):
     return t.documents.select("doc_id", S.excerpt(F.col("text"), 80).alias("excerpt"))
 
 
-@query("b16_keyword_seeds")
+@query("b16_keyword_seeds", f"SELECT conv_id, turn, {SEEDS} AS seeds FROM conversations WHERE role = 'user'")
 def seeds(t: Inputs):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", S.keyword_seeds(F.col("text")).alias("seeds"))
 

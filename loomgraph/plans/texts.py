@@ -12,6 +12,7 @@ from ..sources import tables as B
 from ..sources import texts as T
 from ..streaming import streams as I
 from .registry import Inputs, query
+from .sqltext import CUT, FIRST, SEEDS, STOPS
 
 SOURCE = """src AS (SELECT DISTINCT substr(sha256(trim(lang) || chr(10) || trim(source) || chr(10) || text), 1, 16) AS id, sha256(text) AS content_hash, source, lang AS task, text FROM documents)"""
 
@@ -134,11 +135,20 @@ def observations(t: Inputs):
     return B.read_observations(t.spark, at).select("obs_id", "task", "domain", F.size("concepts").cast("long").alias("n"))
 
 
-@query("a08_export_graph", """SELECT id, count(*) AS degree, round(min(confidence), 3) AS confidence, min(domain) AS domain FROM (SELECT unnest([source_id, target_id]) AS id FROM {edges}) JOIN {concepts} USING (id) GROUP BY 1""")
+@query("a08_export_graph", """WITH d AS (SELECT id, count(*) AS connections FROM (SELECT unnest([source_id, target_id]) AS id FROM {edges}) GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strength DESC, label) AS r FROM {colors}),
+    p AS (SELECT id, round(max(strength), 4) AS domain_strength, array_to_string(list(label || '=' || printf('%.4f', strength) ORDER BY r) FILTER (r <= 6), ';') AS profile FROM k GROUP BY 1), t AS (SELECT concept AS id, array_to_string(list_sort(list(DISTINCT task))[1:10], ';') AS tasks, array_to_string(list_sort(list(DISTINCT obs_id % 7))[1:10], ';') AS sources FROM {mentions} GROUP BY 1)
+    SELECT id, domain, replace(lower(id), '#', '-') || '.' || regexp_replace(regexp_replace(lower(domain), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') || '.' || id AS representation, round(confidence, 4) AS confidence, maturity, activation_count, coalesce(connections, 0) AS connections, strftime(last_activated, '%Y-%m-%d %H:%M') AS last_activated,
+        domain_strength, profile, tasks, sources FROM {concepts} LEFT JOIN d USING (id) LEFT JOIN p USING (id) LEFT JOIN t USING (id)""")
 def export(t: Inputs):
-    from ..operators.lifecycle import degree
+    log = t.mentions.select("concept", "task", (F.col("obs_id") % 7).cast("string").alias("source"))
+    nodes = B.export_nodes(t.concepts.withColumn("name", F.col("id")), t.edges, t.colors, log)
+    shown = F.array_join(F.transform("domain_profile", lambda x: F.concat(x["domain"], F.lit("="), F.format_string("%.4f", x["strength"]))), ";")
+    return nodes.select("id", "domain", "representation", "confidence", "maturity", "activation_count", "connections", "last_activated", "domain_strength", shown.alias("profile"), F.array_join("tasks", ";").alias("tasks"), F.array_join("sources", ";").alias("sources"))
 
-    return degree(t.edges).join(t.concepts, "id").select("id", "degree", F.round("confidence", 3).alias("confidence"), "domain")
+
+@query("a08_export_edges", "SELECT source_id AS source, target_id AS target, axis AS relation_type, is_explicit, reinforcement_count, round(weight, 4) AS weight, round(probability, 4) AS probability, round(e.confidence, 4) AS confidence, upper(a.id) AS source_name, upper(b.id) AS target_name FROM {edges} e JOIN {concepts} a ON a.id = source_id JOIN {concepts} b ON b.id = target_id WHERE a.domain <> 'Brand#2' AND b.domain <> 'Brand#2'")
+def export_edges(t: Inputs):
+    return B.export_edges(t.concepts.where("domain <> 'Brand#2'").withColumn("name", F.upper("id")), t.edges)
 
 
 @query("e07_needs_compaction", "SELECT conv_id, count(*) AS n, count(*) > 6 AND greatest(0, count(*) - 3) >= 2 AS needed FROM conversations GROUP BY 1")
@@ -151,9 +161,34 @@ def context(t: Inputs):
     return D.session_context(t.conversations, most=4)
 
 
-@query("e08_compact_sessions")
+def _failures(t: Inputs):
+    """Turns whose text speaks of an error count as failed."""
+    return t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "llm_error").otherwise("none").alias("failure_class"))
+
+
+SUMMARY = f"""u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'),
+    g AS (SELECT conv_id, list({CUT(120)} ORDER BY turn) AS goals FROM u WHERE r <= 3 GROUP BY 1), w AS (SELECT conv_id, flatten(list({SEEDS} ORDER BY turn)) AS w FROM u WHERE r <= 4 GROUP BY 1),
+    k AS (SELECT conv_id, ({FIRST.format('w')})[1:6] AS seeds FROM w), o AS (SELECT conv_id, arg_max({CUT(160)}, turn) AS outcome FROM conversations WHERE role = 'assistant' GROUP BY 1),
+    f AS (SELECT conv_id, list('Turn ' || turn || ' ended with llm_error.' ORDER BY turn) AS open_loops FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE turn % 3 = 2) WHERE r <= 4 GROUP BY 1),
+    z AS (SELECT conv_id, covered, goals, seeds, outcome, coalesce(open_loops, []) AS open_loops FROM (SELECT conv_id, count(*) AS covered FROM conversations GROUP BY 1) LEFT JOIN g USING (conv_id) LEFT JOIN k USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN f USING (conv_id))"""
+
+
+@query("e08_compact_sessions", f"WITH {SUMMARY} SELECT * FROM z")
 def compact(t: Inputs):
-    return D.compact_sessions(t.conversations)
+    return D.compact_sessions(t.conversations, turns=_failures(t))
+
+
+@query("e06_session_context_compacted", f"""WITH {SUMMARY}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations JOIN n USING (conv_id))
+    SELECT conv_id, turn AS pos, CASE WHEN role = 'tool_result' THEN 'assistant' ELSE role END AS role, text AS content FROM r WHERE r <= CASE WHEN n > 3 THEN 3 ELSE 6 END AND role IN ('user', 'assistant', 'system')
+    UNION ALL SELECT conv_id, -1, 'system', concat_ws(' | ', coalesce(array_to_string(goals, '; '), ''), outcome) FROM z JOIN n USING (conv_id) WHERE n > 3""")
+def compacted_context(t: Inputs):
+    return D.session_context(t.conversations, D.compact_sessions(t.conversations), most=6, preserve=3)
+
+
+@query("e09_session_states", "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'user' THEN 'attention_needed' WHEN count(*) > 6 AND greatest(0, count(*) - 3) >= 2 THEN 'compacted' ELSE 'active' END AS state FROM conversations GROUP BY 1")
+def states(t: Inputs):
+    """All sessions; those that need a compaction count as compacted."""
+    return D.list_sessions(t.conversations, D.needs_compaction(t.conversations, threshold=6, preserve=3, min_new=2).where("needed"), None)
 
 
 @query("e09_list_sessions", "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'user' THEN 'attention_needed' ELSE 'active' END AS state FROM conversations GROUP BY 1 ORDER BY n DESC, conv_id LIMIT 20")
@@ -167,10 +202,16 @@ def batches(t: Inputs):
     return D.batch_turns(t.conversations, 2).select("conv_id", "batch", "turns")
 
 
-@query("j06_lexical_recall")
+LEXICAL = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_/-]+'), lambda w: NOT list_contains({STOPS}, w)))"
+
+
+@query("j06_lexical_recall", f"""WITH t AS (SELECT conv_id || '-' || turn AS turn_id, turn AS idx, unnest({LEXICAL}) AS w FROM conversations), q AS (SELECT item_id AS query_id, unnest({LEXICAL}) AS w FROM benchmark),
+    h AS (SELECT query_id, turn_id, idx, count(*) AS overlap FROM q JOIN t USING (w) GROUP BY ALL), z AS (SELECT item_id AS query_id, turn_id, idx, 0 AS overlap FROM benchmark, (SELECT conv_id || '-' || turn AS turn_id, turn AS idx FROM conversations ORDER BY turn DESC, 1 LIMIT 4)),
+    a AS (SELECT query_id, turn_id, idx, max(overlap) AS overlap FROM (SELECT * FROM h UNION ALL SELECT * FROM z) GROUP BY ALL), s AS (SELECT query_id, turn_id, overlap + idx * 0.02::DOUBLE AS score FROM a),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn_id) AS rank FROM s WHERE score > 0) SELECT query_id, rank, turn_id, round(score, 6) AS score FROM r WHERE rank <= 4""")
 def recall(t: Inputs):
     turns = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), F.col("turn").alias("idx"), "text")
-    return D.lexical_recall(turns, t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    return D.lexical_recall(turns, t.benchmark.select(F.col("item_id").alias("query_id"), "text")).withColumn("score", F.round("score", 6))
 
 
 @query("i05_activity_windows", "SELECT concept, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM {evidence} GROUP BY 1, 2")
@@ -199,7 +240,7 @@ def keyed_state(t: Inputs):
     checkpointed(t.spark)
     e = I.table_stream(t.spark, t.sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "weaken").otherwise("activate")
-    rows = I.collected(I.evidence_state(e.select(F.concat(F.lit("u"), "user_id").alias("concept"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))), "update")
+    rows = I.collected(I.evidence_state(e.select(F.concat(F.lit("u"), "user_id").alias("concept"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"))), "update")
     last = rows.groupBy("concept").agg(F.max("n").alias("n"), F.max_by("confidence", "n").alias("confidence"))
     return last.select("concept", "n", F.round("confidence", 4).alias("confidence"))
 
@@ -211,6 +252,14 @@ def pending(t: Inputs):
     return I.collected(I.pending_pairs(e), "update").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
+@query("i03_found_pairs", "SELECT l_partkey AS a, l_suppkey AS b, 2 AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2")
+def found_pairs(t: Inputs):
+    """Pairs that reach two sightings, in Spark's keyed state."""
+    checkpointed(t.spark)
+    e = I.table_stream(t.spark, t.sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return I.collected(I.found_pairs(e), "append").select("a", "b", "n")
+
+
 @query("i06_turn_batches", "SELECT conv_id, count(*) // 3 AS documents FROM conversations GROUP BY 1 HAVING count(*) >= 3")
 def turn_batches(t: Inputs):
     checkpointed(t.spark)
