@@ -75,3 +75,32 @@ def test_near_copies_from_a_similarity_of_80(spark):
     assert 0.8 <= share(sets[0], sets[1]) < 0.85 and share(sets[2], sets[3]) < 0.8 and share(sets[4], sets[5]) > 0.85
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns with clashing names; then empty tables: every stage has a result and keeps the columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, _row string, label string, _maybe boolean"
+    long = prose(40)
+    rows = [(1, long, "en"), (1, long, "en"), (2, None, None), (3, "", "fr"), (None, long, "en"), (None, None, "en"), (4, prose(50), "de"), (5, long.upper(), "en"), (6, prose(12), "en")]
+    rows = [(*r, "src", 0, "i", "r", "l", True) for r in rows]
+    for name, data in {"odd": rows, "none": []}.items():
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, i % 2) for i in range(8)] if data else [], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, rows[8][1])] if data else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        left = {}
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, at)
+            if k < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{at}/{stage}")
+            left[stage] = spark.read.parquet(f"{at}/{stage}")
+            docs = left[stage] if k else docs  # with eight labels the first stage decides nothing of interest
+        if not data:
+            assert all(d.count() == 0 for d in left.values())
+            continue
+        ids = lambda stage: sorted((r.doc_id for r in left[stage].select("doc_id").collect()), key=str)
+        assert ids("exact_dedup") == [1, 2, 4, 5, 6]  # of the empty texts the smallest id, of the copies the row with an id
+        assert ids("near_dedup") == [1, 2, 4, 6] and ids("decontamination") == [1, 2, 4] == ids("bpe")
+        assert left["bpe"].where("doc_id = 2").first().n_tokens == 0 and set(left["bpe"].columns) >= {"lang", "_row", "label", "_maybe", "ids"}
