@@ -11,8 +11,11 @@ from loomgraph.plans.adapters import TABLES
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "a04_record_sources", "a13_split_texts", "b02_identity_key", "b07_relation_spec", "b12_color_profile", "c01_resolve", "c05_find_similar", "c11_migrate_edges", "d02_fold_weaken", "d05_fold_relation_weaken",
-    "d07_cooccurrence", "e04_evaluate_lifecycle", "f08_temporal_coupling", "f13_diffuse", "f17_node_entropy", "e10_batch_turns",
+    "d07_cooccurrence", "e04_evaluate_lifecycle", "f08_temporal_coupling", "f13_diffuse", "f17_node_entropy", "e10_batch_turns", "a08_export_graph", "a12_weakened", "c13_concept_cards", "d14_relation_feedback",
+    "d15_world_status", "d18_ingest_edges", "e08_compact_sessions",
 ]
+if os.environ.get("ALL_QUERIES"):  # a quarter of an hour
+    QUICK = sorted(ORACLE_SQL)
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
 
