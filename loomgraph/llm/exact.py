@@ -1,9 +1,7 @@
 """Exact dedup: two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 finds the cells of a large hash table that two rows or more fall in. No row is shuffled for that: each
-partition sends, for each range of cells, the set of the cells that its rows hit as one array (some bytes a row), and says
-whether one of them was hit twice inside the partition; where the arrays of a range meet, the cells in two of
-them, and all cells of an array with an inner repeat, are marked. The marked cells fill a Bloom filter.
+Pass 1 finds the cells of a large hash table that two rows or more fall in: each partition counts its own rows by
+cell, and one integer for each of its cells is shuffled, neither hashes nor texts. The marked cells fill a Bloom filter.
 Pass 2 looks each row up in that filter: a row that misses is alone and passes straight through; only the others are
 shuffled and grouped by the SHA-256 of their normalised text, so that a false hit never changes a result.
 
@@ -29,8 +27,6 @@ from .common import Sieve, cut, small_side
 CELLS_PER_ROW = 32
 #: Cells at most. It is no limit in practice and lets tests fill the table.
 CAP_BITS = 1 << 56
-#: Rows that fall in one range of cells, about: what meets in one row of pass 1.
-RANGE_ROWS = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -41,18 +37,10 @@ def _cell(sha: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(sha), 64 - bits)
 
 
-def _repeated_cells(prints: DataFrame, bits: int, n: int) -> DataFrame:
-    """(c): the cells that two rows or more fall in, and some cells that are near those in one partition."""
-    inner = max(1, bits - max(0, int(log2(max(1, n / RANGE_ROWS)))))  # bits of a cell within its range
-    cell = _cell(F.col("_sha"), bits)
-    rows = prints.select(F.spark_partition_id().alias("p"), F.shiftrightunsigned(cell, inner).alias("r"), cell.bitwiseAND(F.lit((1 << inner) - 1)).alias("c"))
-    sets = rows.groupBy("p", "r").agg(F.collect_set("c").alias("s"), F.count("*").alias("n"))
-    ranges = sets.groupBy("r").agg(
-        F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.flatten(F.collect_list(F.when(F.col("n") > F.size("s"), F.col("s")))).alias("own")
-    )
-    twice = F.filter("s", lambda c, i: (i > 0) & (c == F.get("s", i - 1)))
-    marked = ranges.select("r", F.explode(F.array_distinct(F.concat(twice, "own"))).alias("c"))
-    return marked.select(F.shiftleft("r", inner).bitwiseOR(F.col("c")).alias("c"))
+def _repeated_cells(prints: DataFrame, bits: int) -> DataFrame:
+    """(c): the cells that two rows or more fall in."""
+    cells = prints.select(_cell(F.col("_sha"), bits).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    return cells.where("n > 1").select("c")
 
 
 class _Found:
@@ -61,7 +49,7 @@ class _Found:
     def __init__(self, prints: DataFrame, cap_bits: int):
         n = prints.count()
         self.bits = int(min(log2(cap_bits), max(16, ceil(log2(max(1, n) * CELLS_PER_ROW)))))
-        cells = cut(_repeated_cells(prints, self.bits, n))
+        cells = cut(_repeated_cells(prints, self.bits))
         self.sieve = Sieve(cells, "c", cells.count())
         some = self.sieve.passed(prints, _cell(F.col("_sha"), self.bits))
         longest = some.groupBy("_sha", "_len").agg(F.min("_id").alias("_id"), F.count("*").alias("n"))
