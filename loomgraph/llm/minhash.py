@@ -251,7 +251,7 @@ def link_pairs(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     shared = shared.groupBy("id").agg(F.count("*").alias("most"), *[F.bit_or(F.when(F.shiftright(spot, 6) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
     shared = shared.withColumn("extra", F.col("most") - sum(F.bit_count(w) for w in words))  # shingles beyond one a class
     # No partner has more of its shingles in common than `most`.
-    smallest = rest.groupBy("key").agg(F.min("n").alias("k")).join(rest.select("key", "id"), "key").groupBy("id").agg(F.min("k").alias("least"))
+    smallest = cut(rest.groupBy("key").agg(F.min("n").alias("k"))).join(rest.select("key", "id"), "key").groupBy("id").agg(F.min("k").alias("least"))
     bands = classes.select("id", "bands")
     rest = rest.join(shared, "id").join(smallest, "id").join(bands, "id")
     possible = _near(F.col("most"), F.col("n"), F.greatest("least", "most"), threshold)
