@@ -2,7 +2,8 @@
 
 Every step is a clamped addition, x -> min(hi, max(lo, x + d)), whose size depends on a running count only.
 Two such steps make one of the same kind, so a key's steps are folded in chunks of a bounded number of rows
-and the chunks' results are folded again: no key is gathered whole, however hot it is.
+and the chunks' results are folded again. Running counts come from the counts of each hour of a key, added up over its hours, and
+from a window inside the hour: no key is sorted or gathered whole, however hot it is; only what it has in one hour is.
 """
 
 from __future__ import annotations
@@ -28,22 +29,29 @@ def _folded(steps: Column) -> Column:
     return F.aggregate(steps, none, lambda a, x: _then(a, x["s"]))
 
 
-def fold_steps(events: DataFrame, key: list[str], order: list[str], d: Column, lo: Column, hi: Column) -> DataFrame:
-    """(key, step): all steps of each key in order, as one step."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    rows = events.select(*key, F.struct(d.alias("d"), lo.alias("lo"), hi.alias("hi")).alias("s"), F.row_number().over(w).alias("i"))
-    rows = rows.withColumn("chunk", F.floor((F.col("i") - 1) / CHUNK))
-    parts = rows.groupBy(*key, "chunk").agg(_folded(F.array_sort(F.collect_list(F.struct("i", "s")))).alias("s"))
-    return parts.groupBy(*key).agg(_folded(F.array_sort(F.collect_list(F.struct("chunk", "s")))).alias("step"))
+def numbered(events: DataFrame, key: list[str], order: list[str], kinds: dict[str, str]) -> DataFrame:
+    """events with running counts of some kinds ({column: kind}, the row itself included), `_slice` (the hour of order[0]) and `_i` (number in the hour)."""
+    hour = F.coalesce(F.date_trunc("hour", F.col(order[0]).cast("timestamp")), F.timestamp_seconds(F.lit(-62135596800)))
+    rows = events.withColumn("_slice", hour)
+    counts = rows.groupBy(*key, "_slice").agg(*[F.count_if(F.col("kind") == k).alias(f"_b{c}") for c, k in kinds.items()])
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*key, "_slice", *[F.coalesce(F.sum(f"_b{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in kinds])
+    w = Window.partitionBy(*key, "_slice").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(before, [*key, "_slice"])
+    running = {c: F.col(f"_b{c}") + F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(upto) for c, k in kinds.items()}
+    return rows.select("*", *[x.alias(c) for c, x in running.items()], F.row_number().over(w).alias("_i"))
 
 
-def apply_step(x: Column, step: Column) -> Column:
-    return _clamp(x + step["d"], step["lo"], step["hi"])
+def fold_steps(rows: DataFrame, key: list[str], d: Column, lo: Column, hi: Column) -> DataFrame:
+    """(key, step): all steps of each key in order, as one step; rows are numbered."""
+    steps = rows.select(*key, "_slice", F.floor((F.col("_i") - 1) / CHUNK).alias("chunk"), F.col("_i").alias("i"), F.struct(d.alias("d"), lo.alias("lo"), hi.alias("hi")).alias("s"))
+    parts = steps.groupBy(*key, "_slice", "chunk").agg(_folded(F.array_sort(F.collect_list(F.struct("i", "s")))).alias("s"))
+    return parts.groupBy(*key).agg(_folded(F.array_sort(F.collect_list(F.struct("_slice", "chunk", "s")))).alias("step"))
 
 
-def _running(kind: str, key: list[str], order: list[str]) -> Column:
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(w)
+def apply_step(x: Column, step: Column) -> Column:
+    return _clamp(x + step["d"], step["lo"], step["hi"])
 
 
 def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id"), state: DataFrame | None = None) -> DataFrame:
@@ -53,14 +61,14 @@ def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept",
     same columns from an earlier fold: its concepts go on from there, those without events stay as they are.
     """
     o = list(order)
-    rows = events.withColumn("_a", _running("activate", [key], o)).withColumn("_w", _running("weaken", [key], o))
+    rows = numbered(events, [key], o, {"_a": "activate", "_w": "weaken"})
     if state is not None:
         was = state.select(key, F.col("activation_count").alias("_a0"), F.col("disconfirmation_count").alias("_w0"))
         rows = rows.join(was, key, "left").withColumns({"_a": F.col("_a") + F.coalesce("_a0", F.lit(0)), "_w": F.col("_w") + F.coalesce("_w0", F.lit(0))})
     up = F.col("kind") == "activate"
     d = F.when(up, 0.06 / (1 + 0.08 * F.col("_a"))).otherwise(-0.06 / (1 + 0.08 * F.col("_w")))
     lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, 1.0).otherwise(float("inf"))
-    steps = fold_steps(rows, [key], o, d, lo, hi)
+    steps = fold_steps(rows, [key], d, lo, hi)
     counts = events.groupBy(key).agg(
         F.count_if(F.col("kind") == "activate").alias("activation_count"), F.count_if(F.col("kind") == "weaken").alias("disconfirmation_count"),
         F.max(F.when(F.col("kind") == "activate", F.col("ts"))).alias("last_activated"), F.max(F.when(F.col("kind") == "weaken", F.col("ts"))).alias("last_weakened"),
@@ -116,11 +124,11 @@ def fold_relations(events: DataFrame, births: DataFrame, key: list[str], order:
     zero = F.lit(0).cast("long")
     births = births.withColumns({c: v for c, v in {"is_explicit": F.lit(True), "reinforcement_count": zero, "disconfirmation_count": zero}.items() if c not in births.columns})
     was = births.select(*key, "is_explicit", F.col("reinforcement_count").alias("_r0"), F.col("disconfirmation_count").alias("_w0"))
-    rows = events.withColumn("_r", _running("reinforce", key, o)).withColumn("_w", _running("weaken", key, o)).join(was, key)
+    rows = numbered(events, key, o, {"_r": "reinforce", "_w": "weaken"}).join(was, key)
     up, n, m = F.col("kind") == "reinforce", F.col("_r") + F.col("_r0"), F.col("_w") + F.col("_w0")
     d = F.when(up, F.when(F.col("is_explicit"), 0.08 / (1 + 0.05 * n)).otherwise(0.06 / (1 + 0.15 * n))).otherwise(-0.06 / (1 + 0.10 * m))
     lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, F.when(F.col("is_explicit"), 1.0).otherwise(0.7)).otherwise(float("inf"))
-    steps = fold_steps(rows, key, o, d, lo, hi)
+    steps = fold_steps(rows, key, d, lo, hi)
     counts = events.groupBy(*key).agg(F.count_if(F.col("kind") == "reinforce").alias("_r"), F.count_if(F.col("kind") == "weaken").alias("_w"))
     out = births.join(steps, key, "left").join(counts, key, "left")
     step = lambda c: F.when(F.col("step").isNull(), F.col(c)).otherwise(apply_step(F.col(c), F.col("step")))

@@ -233,7 +233,11 @@ def consolidate(t: Inputs):
     return R.consolidate_by_signature(_candidates(t), _parts(t)).select("q", "c", F.round("similarity", 6).alias("similarity"))
 
 
-@query("c03_match_synonyms")
+@query("c03_match_synonyms", """WITH p AS (SELECT p_partkey, concat('p', p_partkey) AS id, lower(p_brand) AS domain, trim(regexp_replace(lower(p_type), '\\s+', ' ', 'g')) AS sense, list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z0-9]+'), lambda x: len(x) >= 2)) AS s,
+        list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_name || ' ' || p_brand), '[a-z0-9]+'), lambda x: len(x) >= 2)) AS l FROM part),
+    j AS (SELECT q.id AS q, c.id AS c, len(list_intersect(q.s, c.s)) AS k, len(q.s) AS nq, len(c.s) AS nc, len(list_intersect(q.l, c.l)) > 0 AS lexical, q.sense = c.sense AS exact FROM p q JOIN p c ON q.p_partkey % 20 = 0 AND q.domain = c.domain),
+    s AS (SELECT q, c, CASE WHEN lexical AND (k / least(nq, nc) >= 6e-1 OR (exact AND nq >= 3)) THEN greatest(9e-1, k / least(nq, nc)) WHEN exact AND k / (nq + nc - k) >= 78e-2 THEN k / (nq + nc - k) WHEN k >= 4 AND k / (nq + nc - k) >= 82e-2 THEN k / (nq + nc - k) END AS score FROM j WHERE k > 0)
+    SELECT q, arg_min(c, (-score, c)) AS c, max(score) AS score FROM s WHERE score >= 78e-2 GROUP BY 1""")
 def synonyms(t: Inputs):
     return R.match_synonyms(_candidates(t), _parts(t))
 
