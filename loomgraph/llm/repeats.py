@@ -229,6 +229,32 @@ def shared_spans(suffix: list[bytes], before: list[bytes], group: np.ndarray, le
     return out
 
 
+def maximal_groups(suffix: list[bytes], before: list[bytes], group: np.ndarray, least: int) -> Iterator[tuple[list[int], int, int]]:
+    """(members, left, right) of each maximal repeat of entries sorted by (group, suffix): the entries that share `left` bytes before the anchor and `right` from it
+    on, `least` or more together, no byte of which could be added on either side for all of them.
+
+    The interval tree gives the sets that share what follows; inside each, a second scan over what precedes gives those that share
+    it too, and a set whose members all go on alike to the right belongs to a deeper interval.
+    """
+    right, right_size = _matrix(suffix, max(map(len, suffix), default=1))
+    left, left_size = _matrix(before, max([*map(len, before), 1]))
+    lcp = np.full(len(suffix), -1)
+    near = _common(right[1:], right[:-1], np.minimum(right_size[1:], right_size[:-1]))
+    lcp[1:] = np.where(group[1:] == group[:-1], near, -1)
+    rank = np.empty(len(before), np.int64)
+    rank[np.array(sorted(range(len(before)), key=before.__getitem__), np.int64)] = np.arange(len(before))
+    for first, last, depth in intervals(lcp.tolist()):
+        members = np.arange(first, last + 1)
+        members = members[np.argsort(rank[members])]
+        same = _common(left[members[1:]], left[members[:-1]], np.minimum(left_size[members[1:]], left_size[members[:-1]]))
+        for f, k, lead in intervals([-1, *same.tolist()]):
+            some = members[f : k + 1]
+            if lead + depth >= least and lcp[int(some.min()) + 1 : int(some.max()) + 1].min() == depth:
+                yield sorted(some.tolist()), lead, depth
+        if depth >= least and len(same) and not same.min():  # also those that share nothing before the anchor
+            yield sorted(members.tolist()), 0, depth
+
+
 def _settled(rows: DataFrame, least: int) -> DataFrame:
     """(key, around, spans): the parts of each surrounding that are repeated, as (from, to) within it."""
     fields = T.StructType.fromDDL("key bigint, around bigint, spans array<struct<from:int,to:int>>")
@@ -295,6 +321,51 @@ def _settled_hot(rows: DataFrame, least: int) -> DataFrame:
     return hit.select("key", "around", F.transform("at", lambda o: F.struct(o.alias("from"), (o + least).alias("to"))).alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(repeat, length, k1, k2, start): every maximal repeat of `least` bytes or more with all its occurrences, in texts by their key (see text_key).
+
+    A repeat is named by a hash of its bytes. Each anchor's repeats reach as far as strings of `least` bytes around the anchor do; a longer passage
+    appears as one repeat for each of its anchors. The surroundings of one anchor are sorted in one task.
+    """
+    texts = _texts(docs, text_col)
+    keys = cut(_counted(texts, least).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    known = Bits.build(keys, "key", Bits.width(keys.count(), CAP_BITS))
+    rows = _surroundings(texts, least, known).groupBy("key", "around").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("lead", "size", "suffix", "before")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= 20_000 and row[0] != held[-1][0]:
+                    yield from solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from solve(held)
+
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, around, n, lead, size, suffix, before = zip(*held, strict=True)
+        out: list[tuple] = []
+        name = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+        for members, left, right in maximal_groups(list(suffix), list(before), np.array(key), least):
+            i = members[0]
+            repeat = name(before[i][:left][::-1] + suffix[i][:right])
+            out += [(key[i], around[m], repeat, left + right, lead[m] - left) for m in members]
+            if len(out) >= HELD_KEYS:
+                yield pack(out)
+                out = []
+        out += [(key[i], around[i], name(before[i][::-1] + suffix[i]), size[i], 0) for i in range(len(held)) if n[i] > 1]
+        yield pack(out)
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "around", "repeat", "length", "offset"])
+
+    found = in_arrow(rows.repartition("key").sortWithinPartitions("key", "suffix", "around"), run, "key bigint, around bigint, repeat bigint, length bigint, offset bigint")
+    spots = _occurrences(texts, least, known).join(cut(found.distinct()), ["key", "around"])
+    return spots.select("repeat", "length", "k1", "k2", (F.col("start") + F.col("offset")).alias("start")).distinct()
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): for each different text with a repeat, the byte ranges (from, to) to remove, unmerged."""
     texts = _texts(docs, text_col)

@@ -9,6 +9,7 @@ import re
 import textwrap
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,39 @@ def test_repeats(docs, none, hot):
         assert repeats.remove_repeats(none).count() == 0
 
 
+def test_maximal_groups():
+    """All sets of strings around one anchor that share a maximal string, against every pair's own common string."""
+    for _ in range(60):
+        anchor = b"##"
+        rows = sorted({(anchor + bytes(R.choice(b"ab") for _ in range(6)), bytes(R.choice(b"ab") for _ in range(5))) for _ in range(R.randint(1, 9))})
+        suffix, before = [r[0] for r in rows], [r[1] for r in rows]
+        got_ = {(tuple(m), a, b) for m, a, b in repeats.maximal_groups(suffix, before, np.zeros(len(rows), int), 5)}
+        share = lambda x, y: next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))  # noqa: E731, B905
+        want = set()
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = share(before[i], before[j]), share(suffix[i], suffix[j])
+                if a + b >= 5:  # what these two share, and all that have it
+                    want.add((tuple(k for k in range(len(rows)) if before[k][:a] == before[i][:a] and suffix[k][:b] == suffix[i][:b]), a, b))
+        assert got_ == want
+
+
+def test_repeat_groups(spark):
+    passage = prose(60)[:260]
+    texts = [prose(30) + passage + prose(30), prose(9) + passage, passage[:230] + prose(40), prose(80), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    raw = {tuple(r[1:]): r[0].encode() for r in df.where("text is not null").select("text", *decontam.text_key(F.col("text"))).collect()}
+    groups = defaultdict(set)
+    for r in repeats.repeat_groups(df).collect():
+        groups[r.repeat, r.length].add((raw[r.k1, r.k2], r.start))
+    assert groups and all(len({t[k : k + n] for t, k in g}) == 1 and len(g) > 1 and n >= 200 for (_, n), g in groups.items())
+    covered = {t: set() for t in raw.values()}
+    for (_, n), g in groups.items():
+        for t, k in g:
+            covered[t] |= set(range(k, k + n))
+    assert [covered[t] for t in raw.values()] == removed([*raw.values()], 200)
+
+
 def test_prefix_intervals():
     assert sorted(repeats.intervals([-1, 3, 5, 1, -1, 2])) == [(0, 2, 3), (0, 3, 1), (1, 2, 5), (4, 5, 2)]
 
