@@ -39,7 +39,7 @@ from .minhash import powers
 
 ANCHOR = 40
 LEAST = 200
-HOT = 2_000
+HOT = 200_000
 #: Anchors, and surroundings with their bytes, that a task holds to tell equal ones once.
 HELD_KEYS, HELD_ROWS = 500_000, 40_000
 #: 64 MB at most.
