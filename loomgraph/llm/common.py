@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,15 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made, used
+    Only on one machine (a local master) and where that setting is absent, as in tests, a temporary folder is made, used
     and removed at exit.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
+    if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     if (have := spark.sparkContext.getCheckpointDir()) is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-scratch-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -44,9 +44,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared scratch folder; later reads don't run its plan again."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, written once to the shared scratch folder; later reads don't run its plan again.
+
+    They are written as Parquet: Spark then plans with the size of the files, where a checkpoint would keep the estimate
+    of the plan that it cuts, which grows with each round of a loop.
+    """
+    at = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def _give_back() -> None:
