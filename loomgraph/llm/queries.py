@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, toxicity, warc
+from . import anntree, hardneg, importance, langid, licenses, quality, toxicity, warc
 from .bpe import digests
 from .common import held_out, table
 from .decontam import report
@@ -89,6 +89,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return anntree.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("_row.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_repeats": op9_repeats,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
@@ -178,4 +197,30 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
         FROM g""",
+    "op11_hard_negatives": """
+        WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS a, b.id AS b, a.l = b.l AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+        p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (SELECT p.a, p.b AS pos, p.s AS ps, s.b AS neg, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+              FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+        SELECT a AS anchor_id, pos AS positive_id, r::INT AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5""",
+    "op13_importance_resampling": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+        u AS (SELECT doc_id, unnest(w) AS x FROM w),
+        k AS (SELECT x, xor(4294967295, list_reduce(list_transform(range(len(hex(encode(x))) // 2), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT),
+                     lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT)) % 10000 AS k
+              FROM (SELECT x FROM u UNION SELECT x FROM y)),
+        d AS (SELECT doc_id, k FROM u JOIN k USING (x)),
+        s AS (SELECT k, count(*)::DOUBLE AS s FROM d GROUP BY 1),
+        t AS (SELECT k, count(*)::DOUBLE AS t FROM y JOIN k USING (x) GROUP BY 1),
+        g AS (SELECT b.k, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS g
+              FROM (SELECT unnest(range(10000)) AS k) b LEFT JOIN s ON s.k = b.k LEFT JOIN t ON t.k = b.k),
+        m AS (SELECT doc_id, floor(sum(g) / count(*)) AS m FROM d JOIN g USING (k) GROUP BY 1),
+        r AS (SELECT w.doc_id, len(w.w)::BIGINT AS n, coalesce(m, 0)::BIGINT AS m,
+                     ('0x' || substr(sha256('2024:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN m ON m.doc_id = w.doc_id),
+        f AS (SELECT doc_id, n, m, m + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS s FROM r),
+        z AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY s DESC, doc_id) END AS rank FROM f)
+        SELECT doc_id, n AS n_features, m AS weight, s AS score, CASE WHEN rank <= 10 * (SELECT count(*) FROM f WHERE n >= 20) // 100 THEN rank END AS rank FROM z""",
 }
