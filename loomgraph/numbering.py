@@ -8,18 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_number(rows: DataFrame, order: list[Column], name: str, cut: Callable[[DataFrame], DataFrame], key: list[str] | None = None) -> DataFrame:
-    """rows with a number from 1 on in the given order, within each key if there is one.
+def in_ranges(rows: DataFrame, key: list[str], order: list[Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with `_n`, which rises in key and order: the range in its upper bits, the place in the range in the lower 33.
 
     Rows are dealt by ranges of key and order (and of a hash of the row and its place in the input, so that equal rows spread too), sorted
-    and numbered in their range, and written once; a second pass adds how many rows of the key the ranges before hold. That is one row
-    for each range, or each key and range, so nothing gathers a key. The order of rows that are equal in `order` is that of their hash.
+    in their range and written once. The order of rows that are equal in `order` is that of their hash.
     """
-    key = key or []
     plain = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     by = [*[F.asc(c) for c in key], *order, F.xxhash64(*[F.col(c) for c in plain]), F.col("_place")]
     placed = rows.withColumn("_place", F.monotonically_increasing_id())
-    numbered = cut(placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("_place").withColumn("_n", F.monotonically_increasing_id()))
+    return cut(placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("_place").withColumn("_n", F.monotonically_increasing_id()))
+
+
+def running_number(rows: DataFrame, order: list[Column], name: str, cut: Callable[[DataFrame], DataFrame], key: list[str] | None = None) -> DataFrame:
+    """rows with a number from 1 on in the given order, within each key if there is one (see in_ranges).
+
+    What the ranges before hold of the key is added up from one row for each range, or each key and range, so nothing gathers a key.
+    """
+    key = key or []
+    numbered = in_ranges(rows, key, order, cut)
     part = F.shiftright("_n", 33)
     if not key:
         starts, before = {}, 0

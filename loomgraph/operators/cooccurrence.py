@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evidence import reinforced
@@ -25,7 +25,8 @@ def mention_pairs(mentions: DataFrame, cap: int | None = PAIR_CAP) -> DataFrame:
 
 def cooccurrence_edges(pairs: DataFrame, birth: float = 0.15) -> DataFrame:
     """(a, b, sightings, weight, discovered_at, last_reinforced): the second sighting makes an edge, later ones reinforce it."""
-    n = F.row_number().over(Window.partitionBy("a", "b").orderBy("ts", "obs_id"))
-    made = pairs.withColumn("n", n).groupBy("a", "b").agg(F.count("*").alias("sightings"), F.min(F.when(F.col("n") == 2, F.col("ts"))).alias("discovered_at"), F.max("ts").alias("last_reinforced"))
-    made = made.where("sightings >= 2")
+    at = F.struct("ts", "obs_id")
+    made = pairs.groupBy("a", "b").agg(F.count("*").alias("sightings"), F.min(at).alias("_first"), F.max("ts").alias("last_reinforced")).where("sightings >= 2")
+    second = pairs.join(made.select("a", "b", "_first"), ["a", "b"]).where(at > F.col("_first")).groupBy("a", "b").agg(F.min("ts").alias("discovered_at"))
+    made = made.join(second, ["a", "b"], "left").withColumn("discovered_at", F.coalesce("discovered_at", F.col("_first.ts"))).drop("_first")
     return made.withColumn("weight", reinforced(F.lit(birth), F.col("sightings") - 2, explicit=False))

@@ -1,57 +1,70 @@
 """Folding evidence into confidences.
 
-Every step is a clamped addition, x -> min(hi, max(lo, x + d)), whose size depends on a running count only.
-Two such steps make one of the same kind, so a key's steps are folded in chunks of a bounded number of rows
-and the chunks' results are folded again. Running counts come from the counts of each hour of a key, added up over its hours, and
-from a window inside the hour: no key is sorted or gathered whole, however hot it is; only what it has in one hour is.
+Every step is a clamped affine map, x -> min(hi, max(lo, a x + d)) with a > 0, whose size depends on running counts only. Two such
+maps make one of the same kind, so a key's steps are folded in chunks of a bounded number of rows and the chunks' results are folded
+again. A relation's step maps three values (weight, confidence, probability), each from one of the three; that is closed too.
+
+Running counts are prefix sums: events are dealt by ranges of key and order, sorted where they lie and written once; a chunk is a run of one
+range, and what a key has in earlier chunks is added up from a count for each chunk. No key, hour or pair is ever gathered or sorted in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 4096
-STEP = "struct<d:double,lo:double,hi:double>"
+from ..numbering import in_ranges
+from ..scratch import checkpointed
+
+#: log2 of the rows of a chunk.
+CHUNK_BITS = 12
+#: Terms after which a sum of falling steps has passed every cap.
+MOST_TERMS = 4096
+INF = float("inf")
 
 
 def _clamp(x: Column, lo: Column, hi: Column) -> Column:
     return F.least(hi, F.greatest(lo, x))
 
 
-def _then(a: Column, b: Column) -> Column:
-    """Step a followed by step b, as one step."""
-    return F.struct((a["d"] + b["d"]).alias("d"), _clamp(a["lo"] + b["d"], b["lo"], b["hi"]).alias("lo"), _clamp(a["hi"] + b["d"], b["lo"], b["hi"]).alias("hi"))
+def _map(a: Column | float = 1.0, d: Column | float = 0.0, lo: Column | float = -INF, hi: Column | float = INF) -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return F.struct(as_column(a).alias("a"), as_column(d).alias("d"), as_column(lo).alias("lo"), as_column(hi).alias("hi"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: inside a fold, expressions are not shared."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _folded(steps: Column) -> Column:
-    none = F.struct(F.lit(0.0).alias("d"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    return F.aggregate(steps, none, lambda a, x: _then(a, x["s"]))
+def _then(f: Column, g: Column) -> Column:
+    """Map f followed by map g, as one map."""
+    return _map(f["a"] * g["a"], g["a"] * f["d"] + g["d"], _clamp(g["a"] * f["lo"] + g["d"], g["lo"], g["hi"]), _clamp(g["a"] * f["hi"] + g["d"], g["lo"], g["hi"]))
 
 
-def numbered(events: DataFrame, key: list[str], order: list[str], kinds: dict[str, str]) -> DataFrame:
-    """events with running counts of some kinds ({column: kind}, the row itself included), `_slice` (the hour of order[0]) and `_i` (number in the hour)."""
-    hour = F.coalesce(F.date_trunc("hour", F.col(order[0]).cast("timestamp")), F.timestamp_seconds(F.lit(-62135596800)))
-    rows = events.withColumn("_slice", hour)
-    counts = rows.groupBy(*key, "_slice").agg(*[F.count_if(F.col("kind") == k).alias(f"_b{c}") for c, k in kinds.items()])
-    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*key, "_slice", *[F.coalesce(F.sum(f"_b{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in kinds])
-    w = Window.partitionBy(*key, "_slice").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(before, [*key, "_slice"])
-    running = {c: F.col(f"_b{c}") + F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(upto) for c, k in kinds.items()}
-    return rows.select("*", *[x.alias(c) for c, x in running.items()], F.row_number().over(w).alias("_i"))
+def apply_map(x: Column, m: Column) -> Column:
+    return _clamp(m["a"] * x + m["d"], m["lo"], m["hi"])
 
 
-def fold_steps(rows: DataFrame, key: list[str], d: Column, lo: Column, hi: Column) -> DataFrame:
-    """(key, step): all steps of each key in order, as one step; rows are numbered."""
-    steps = rows.select(*key, "_slice", F.floor((F.col("_i") - 1) / CHUNK).alias("chunk"), F.col("_i").alias("i"), F.struct(d.alias("d"), lo.alias("lo"), hi.alias("hi")).alias("s"))
-    parts = steps.groupBy(*key, "_slice", "chunk").agg(_folded(F.array_sort(F.collect_list(F.struct("i", "s")))).alias("s"))
-    return parts.groupBy(*key).agg(_folded(F.array_sort(F.collect_list(F.struct("_slice", "chunk", "s")))).alias("step"))
+def _numbered(events: DataFrame, key: list[str], order: list[str], counts: dict[str, Column]) -> DataFrame:
+    """events with `_n` (rises in order), `_chunk` and running counts (the row itself included) of the rows that fit each condition."""
+    cut = checkpointed(events.sparkSession)
+    ranged = in_ranges(events, key, [F.col(c) for c in order], cut).withColumn("_chunk", F.shiftright("_n", CHUNK_BITS))
+    sums = ranged.groupBy(*key, "_chunk").agg(*[F.count_if(c).alias(f"_b{n}") for n, c in counts.items()])
+    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    before = sums.select(*key, "_chunk", *[F.coalesce(F.sum(f"_b{n}").over(earlier), F.lit(0)).alias(f"_b{n}") for n in counts])
+    inside = Window.partitionBy(*key, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)  # a chunk is bounded
+    rows = ranged.join(before, [*key, "_chunk"])
+    return rows.select("*", *[(F.col(f"_b{n}") + F.sum(F.when(c, 1).otherwise(0)).over(inside)).alias(n) for n, c in counts.items()])
 
 
-def apply_step(x: Column, step: Column) -> Column:
-    return _clamp(x + step["d"], step["lo"], step["hi"])
+def _folded(rows: DataFrame, key: list[str], step: Column, same: Column, then: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, step): all steps of each key in order, as one step; first in each chunk, then over the chunks."""
+    fold = lambda at: F.aggregate(F.array_sort(F.collect_list(F.struct(at, "_s"))), same, lambda acc, x: then(acc, x["_s"]))
+    parts = rows.select(*key, "_chunk", "_n", step.alias("_s")).groupBy(*key, "_chunk").agg(fold("_n").alias("_s"))
+    return parts.groupBy(*key).agg(fold("_chunk").alias("step"))
 
 
 def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id"), state: DataFrame | None = None) -> DataFrame:
@@ -60,34 +73,42 @@ def fold_concepts(events: DataFrame, start: float = 0.15, key: str = "concept",
     The n-th activation adds .06/(1+.08n) up to 1, the n-th weakening takes the same down to .01. `state` has the
     same columns from an earlier fold: its concepts go on from there, those without events stay as they are.
     """
-    o = list(order)
-    rows = numbered(events, [key], o, {"_a": "activate", "_w": "weaken"})
+    kinds = {"_a": F.col("kind") == "activate", "_w": F.col("kind") == "weaken"}
+    rows = _numbered(events.select(key, *[c for c in order if c != "kind"], "kind"), [key], list(order), kinds)
     if state is not None:
         was = state.select(key, F.col("activation_count").alias("_a0"), F.col("disconfirmation_count").alias("_w0"))
-        rows = rows.join(was, key, "left").withColumns({"_a": F.col("_a") + F.coalesce("_a0", F.lit(0)), "_w": F.col("_w") + F.coalesce("_w0", F.lit(0))})
+        rows = rows.join(was, key, "left").withColumns({c: F.col(c) + F.coalesce(f"{c}0", F.lit(0)) for c in ("_a", "_w")})
     up = F.col("kind") == "activate"
     d = F.when(up, 0.06 / (1 + 0.08 * F.col("_a"))).otherwise(-0.06 / (1 + 0.08 * F.col("_w")))
-    lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, 1.0).otherwise(float("inf"))
-    steps = fold_steps(rows, [key], d, lo, hi)
+    steps = _folded(rows, [key], _map(1.0, d, F.when(up, -INF).otherwise(0.01), F.when(up, 1.0).otherwise(INF)), _map(), _then)
     counts = events.groupBy(key).agg(
-        F.count_if(F.col("kind") == "activate").alias("activation_count"), F.count_if(F.col("kind") == "weaken").alias("disconfirmation_count"),
-        F.max(F.when(F.col("kind") == "activate", F.col("ts"))).alias("last_activated"), F.max(F.when(F.col("kind") == "weaken", F.col("ts"))).alias("last_weakened"),
+        F.count_if(kinds["_a"]).alias("activation_count"), F.count_if(kinds["_w"]).alias("disconfirmation_count"),
+        F.max(F.when(kinds["_a"], F.col("ts"))).alias("last_activated"), F.max(F.when(kinds["_w"], F.col("ts"))).alias("last_weakened"),
     )
     if state is None:
-        return steps.join(counts, key).select(key, apply_step(F.lit(start), F.col("step")).alias("confidence"), "activation_count", "disconfirmation_count", "last_activated", "last_weakened")
+        return steps.join(counts, key).select(key, apply_map(F.lit(start), F.col("step")).alias("confidence"), "activation_count", "disconfirmation_count", "last_activated", "last_weakened")
     was = state.select(key, *[F.col(c).alias(f"_{c}") for c in ("confidence", "activation_count", "disconfirmation_count", "last_activated", "last_weakened")])
     out = steps.join(counts, key).join(was, key, "full_outer")
     begin = F.coalesce("_confidence", F.lit(start))
     total = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
     last = lambda c: F.greatest(c, f"_{c}").alias(c)
-    return out.select(key, F.when(F.col("step").isNull(), begin).otherwise(apply_step(begin, F.col("step"))).alias("confidence"), total("activation_count"), total("disconfirmation_count"), last("last_activated"), last("last_weakened"))
+    return out.select(
+        key, F.when(F.col("step").isNull(), begin).otherwise(apply_map(begin, F.col("step"))).alias("confidence"),
+        total("activation_count"), total("disconfirmation_count"), last("last_activated"), last("last_weakened"),
+    )
+
 
+def summed(n: Column, term) -> Column:  # noqa: ANN001
+    """term(1) + ... + term(n) of falling steps on the way to a cap: beyond MOST_TERMS the cap is passed."""
+    terms = F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(MOST_TERMS)).cast("int"))
+    return F.when(n > 0, F.aggregate(terms, F.lit(0.0), lambda a, i: a + term(i))).otherwise(0.0)
 
-def fold_activations(mentions: DataFrame, start: float = 0.15, key: str = "concept", order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
-    """Activations alone have a closed form: a sum over the running number."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = mentions.select(key, "ts", (0.06 / (1 + 0.08 * n)).alias("d"))
-    return rows.groupBy(key).agg(F.least(F.lit(1.0), start + F.sum("d")).alias("confidence"), F.count("*").alias("activation_count"), F.max("ts").alias("last_activated"))
+
+def fold_activations(mentions: DataFrame, start: float = 0.15, key: str = "concept") -> DataFrame:
+    """Activations alone have a closed form, a sum that needs their number only."""
+    rows = mentions.groupBy(key).agg(F.count("*").alias("activation_count"), F.max("ts").alias("last_activated"))
+    total = summed(F.col("activation_count"), lambda i: 0.06 / (1 + 0.08 * i))
+    return rows.select(key, F.least(F.lit(1.0), F.lit(start) + total).alias("confidence"), "activation_count", "last_activated")
 
 
 def discover_relations(rows: DataFrame) -> DataFrame:
@@ -109,31 +130,72 @@ def discover_relations(rows: DataFrame) -> DataFrame:
 def reinforced(weight: Column, n: Column, explicit: bool) -> Column:
     """A weight after n reinforcements, in closed form over the running number."""
     step = (lambda i: 0.08 / (1 + 0.05 * i)) if explicit else (lambda i: 0.06 / (1 + 0.15 * i))
-    total = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + step(i))).otherwise(0.0)
-    return F.least(F.lit(1.0 if explicit else 0.7), weight + total)
+    return F.least(F.lit(1.0 if explicit else 0.7), weight + summed(n, step))
 
 
-def fold_relations(events: DataFrame, births: DataFrame, key: list[str], order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
-    """Confidence and weight of edges after events of kind reinforce or weaken.
+def _step(w: tuple[int, Column], c: tuple[int, Column], p: tuple[int, Column]) -> Column:
+    """A step of a relation: of each value, which of (weight, confidence, probability) it comes from, and by which map."""
+    return F.struct(*[F.struct(F.lit(source).alias("from"), m.alias("map")).alias(name) for name, (source, m) in zip("wcp", (w, c, p), strict=True)])
 
-    births: key, weight, confidence, and where they differ from an explicit edge without a past: is_explicit, reinforcement_count,
-    disconfirmation_count. The n-th reinforcement of an explicit edge adds .08/(1+.05n) up to 1, of a found one .06/(1+.15n) up to .7; the
-    n-th weakening takes .06/(1+.10n) down to .01.
+
+def _both(f: Column, g: Column) -> Column:
+    """Step f followed by step g."""
+
+    def part(name: str) -> Column:
+        source = g[name]["from"]
+        was = F.when(source == 0, f["w"]).when(source == 1, f["c"]).otherwise(f["p"])
+        return _let(was, lambda x: F.struct(x["from"].alias("from"), _then(x["map"], g[name]["map"]).alias("map"))).alias(name)
+
+    return F.struct(part("w"), part("c"), part("p"))
+
+
+def fold_relations(events: DataFrame, births: DataFrame, key: list[str], order: tuple[str, ...] = ("ts", "obs_id")) -> DataFrame:
+    """Weight, confidence and probability of edges after events of kind reinforce, weaken or update.
+
+    births: key, weight, confidence, and where they differ from an explicit edge without a past: is_explicit, probability (else the
+    weight), reinforcement_count, disconfirmation_count, probability_observation_count. The n-th reinforcement of an explicit edge adds
+    .08/(1+.05n) to weight and confidence, up to 1, of a found one .06/(1+.15n) up to .7; the n-th weakening takes .06/(1+.10n) down to .01 and
+    sets the probability to the confidence it leaves. An update (columns prior, prior_strength, evidence, evidence_strength, null where there is
+    none) sets all three to the mean of the probability, of strength max(1, 2 + all counts), with the prior and the evidence; evidence of .5 or more
+    then counts as a reinforcement, less as a weakening.
     """
-    o = list(order)
     zero = F.lit(0).cast("long")
-    births = births.withColumns({c: v for c, v in {"is_explicit": F.lit(True), "reinforcement_count": zero, "disconfirmation_count": zero}.items() if c not in births.columns})
-    was = births.select(*key, "is_explicit", F.col("reinforcement_count").alias("_r0"), F.col("disconfirmation_count").alias("_w0"))
-    rows = numbered(events, key, o, {"_r": "reinforce", "_w": "weaken"}).join(was, key)
-    up, n, m = F.col("kind") == "reinforce", F.col("_r") + F.col("_r0"), F.col("_w") + F.col("_w0")
-    d = F.when(up, F.when(F.col("is_explicit"), 0.08 / (1 + 0.05 * n)).otherwise(0.06 / (1 + 0.15 * n))).otherwise(-0.06 / (1 + 0.10 * m))
-    lo, hi = F.when(up, float("-inf")).otherwise(0.01), F.when(up, F.when(F.col("is_explicit"), 1.0).otherwise(0.7)).otherwise(float("inf"))
-    steps = fold_steps(rows, key, d, lo, hi)
-    counts = events.groupBy(*key).agg(F.count_if(F.col("kind") == "reinforce").alias("_r"), F.count_if(F.col("kind") == "weaken").alias("_w"))
+    usual = {"is_explicit": F.lit(True), "probability": F.col("weight"), "reinforcement_count": zero, "disconfirmation_count": zero, "probability_observation_count": zero}
+    births = births.withColumns({c: v for c, v in usual.items() if c not in births.columns})
+    none = F.lit(None).cast("double")
+    update = {"prior": none, "prior_strength": F.lit(1.0), "evidence": none, "evidence_strength": F.lit(2.0)}
+    events = events.withColumns({c: F.col(c).cast("double") if c in events.columns else v for c, v in update.items()})
+    was = births.select(*key, F.col("is_explicit").alias("_x"), F.col("reinforcement_count").alias("_r0"), F.col("disconfirmation_count").alias("_k0"), F.col("probability_observation_count").alias("_o0"))
+    told = (F.col("kind") == "update") & F.col("evidence").isNotNull() & (F.col("evidence_strength") > 0)
+    kinds = {"_r": (F.col("kind") == "reinforce") | (told & (F.col("evidence") >= 0.5)), "_k": (F.col("kind") == "weaken") | (told & (F.col("evidence") < 0.5)), "_o": told}
+    kept = events.select(*key, *[c for c in order if c not in key], "kind", *update)
+    rows = _numbered(kept, key, list(order), kinds).join(was, key)
+    rows = rows.withColumns({c: F.col(c) + F.coalesce(f"{c}0", zero) for c in kinds})
+    up, down, r, k = F.col("kind") == "reinforce", F.col("kind") == "weaken", F.col("_r"), F.col("_k")
+    given = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"{c}_strength") > 0), F.col(f"{c}_strength")).otherwise(0.0)
+    value = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
+    sp, se = given("prior"), given("evidence")
+    # What was known before an update: the counts without what its own evidence adds, one to the observations and one to either other count.
+    known = F.greatest(F.lit(1.0), (2 + r + k + F.col("_o") - F.when(told, 2).otherwise(0)).cast("double"))
+    mean = _map(known / (known + sp + se), (value("prior") * sp + value("evidence") * se) / (known + sp + se), 0.0, 1.0)
+    gain = F.when(F.col("_x"), 0.08 / (1 + 0.05 * r)).otherwise(0.06 / (1 + 0.15 * r))
+    more = _map(1.0, gain, -INF, F.when(F.col("_x"), 1.0).otherwise(0.7))
+    less = _map(1.0, -0.06 / (1 + 0.10 * k), 0.01, INF)
+    step = F.when(up, _step((0, more), (1, more), (2, _map()))).when(down, _step((0, less), (1, less), (1, less))).otherwise(_step((2, mean), (2, mean), (2, mean)))
+    steps = _folded(rows, key, step, _step((0, _map()), (1, _map()), (2, _map())), _both)
+    counts = events.groupBy(*key).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
     out = births.join(steps, key, "left").join(counts, key, "left")
-    step = lambda c: F.when(F.col("step").isNull(), F.col(c)).otherwise(apply_step(F.col(c), F.col("step")))
+
+    def after(name: str, part: str) -> Column:
+        source = F.col(f"step.{part}.from")
+        was = F.when(source == 0, F.col("weight")).when(source == 1, F.col("confidence")).otherwise(F.col("probability"))
+        return F.when(F.col("step").isNull(), F.col(name)).otherwise(apply_map(was, F.col(f"step.{part}.map"))).alias(name)
+
     total = lambda c, x: (F.col(c) + F.coalesce(x, zero)).alias(c)
-    return out.select(*key, step("weight").alias("weight"), step("confidence").alias("confidence"), total("reinforcement_count", "_r"), total("disconfirmation_count", "_w"))
+    return out.select(
+        *key, after("weight", "w"), after("confidence", "c"), after("probability", "p"),
+        total("reinforcement_count", "_r"), total("disconfirmation_count", "_k"), total("probability_observation_count", "_o"),
+    )
 
 
 def update_probability(p: Column, strength: Column, prior: Column, prior_strength: Column, evidence: Column, evidence_strength: Column) -> Column:

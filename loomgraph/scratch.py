@@ -1,25 +1,60 @@
-"""Cutting a plan: a table written once to the folder that driver and executors share."""
+"""Cutting a plan: a table written once, as Parquet, to the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable
+import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a DataFrame to spark.checkpoint.dir and reads it back.
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only on one machine (a local master), where it is unset, a temporary one is made."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    if have := spark.sparkContext.getCheckpointDir():
+        return have.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    at = tempfile.mkdtemp(prefix="spark-scratch-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(at)
+    return f"file://{at}"
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+
+class Cut:
+    """cut(df) writes df to the shared folder and reads it back; what the file says of its size is true.
+
+    (A DataFrame.checkpoint keeps the estimate of the plan it cuts; in a loop of joins that estimate's digits double with every round.)
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            at = tempfile.mkdtemp(prefix="spark-scratch-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
-        context.setCheckpointDir(at)
-    return lambda df: df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, folder(spark)
+        self._paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[out] = path
+        return out
+
+    def counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The written table, and aggregates of it that the job which writes it takes along."""
+        seen = Observation()
+        out = self(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+        return out, {n: seen.get[n] or 0 for n in counts}
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that this made and nobody reads any more; others are left alone."""
+        for df in tables:
+            if path := self._paths.pop(df, None):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def checkpointed(spark: SparkSession) -> Cut:
+    return Cut(spark)

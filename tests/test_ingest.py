@@ -26,8 +26,8 @@ def observations(n):
     return out
 
 
-def sequential(rows, specs):
-    """{name: (confidence, activations, weakenings)}, {(low, high, axis): edge}, descriptions."""
+def sequential(rows, specs, priors=None):
+    """{name: (confidence, activations, weakenings)}, {(low, high, axis): edge}, descriptions. priors: {(obs_id, source, target, relation): (p, strength)}."""
     concepts, edges, waiting, texts = {}, {}, {}, {}
 
     def weaken(x):
@@ -39,7 +39,7 @@ def sequential(rows, specs):
         step, cap = (0.08 / (1 + 0.05 * e["up"]), 1.0) if e["explicit"] else (0.06 / (1 + 0.15 * e["up"]), 0.7)
         e["w"], e["c"] = min(cap, e["w"] + step), min(cap, e["c"] + step)
 
-    for _, _, _, _, _, names, links, weak, against, about in rows:
+    for obs, _, _, _, _, names, links, weak, against, about in rows:
         for name in names:
             x = concepts.setdefault(name, {"c": 0.15, "up": 0, "down": 0})
             x["up"] += 1
@@ -47,9 +47,19 @@ def sequential(rows, specs):
         for a, b, label in links:
             axis, structural, propagation, relation = specs[label]
             key = (min(a, b), max(a, b), axis)
+            prior = (priors or {}).get((obs, a, b, relation))
             if key in edges:
-                edges[key]["relation"] = relation
-                reinforce(edges[key])
+                e = edges[key]
+                e["relation"] = relation
+                if prior is None:
+                    reinforce(e)
+                else:
+                    known, (p, strength) = max(1.0, 2.0 + e["up"] + e["down"]), prior
+                    strength = max(0.0, strength)
+                    e["w"] = e["c"] = e["p"] = min(1.0, max(0.0, (e["p"] * known + min(1.0, max(0.0, p)) * strength) / (known + strength)))
+            elif prior is not None:
+                p = min(1.0, max(0.0, prior[0])) if prior[1] > 0 else propagation
+                edges[key] = {"ends": (a, b), "w": p, "c": p, "p": p, "up": 0, "down": 0, "explicit": True, "relation": relation}
             else:
                 edges[key] = {"ends": (a, b), "w": propagation, "c": structural, "p": propagation, "up": 0, "down": 0, "explicit": True, "relation": relation}
         for a, b in itertools.combinations(sorted(names), 2):
@@ -114,7 +124,9 @@ def test_ingest_is_the_sequential_passes(spark, rows):
     assert any(not e["explicit"] for e in edges.values()) and any(e["down"] for e in edges.values())
     assert {r.name: r.description for r in world.concepts.where("description is not null").collect()} == texts
     assert world.source_refs.agg(F.sum("n")).first()[0] == world.token_refs.agg(F.sum("n")).first()[0] == sum(len(o[5]) for o in rows)
-    assert changes.where("kind = 'new'").count() == len(concepts) and changes.where("label like '%→%'").count() == sum(len(o[6]) for o in rows)
+    assert changes.where("kind = 'new'").count() == len(concepts) and changes.where("kind in ('new_relation', 'reinforced_relation')").count() == sum(len(o[6]) for o in rows)
+    assert changes.where("kind = 'weakened_relation'").count() == sum(e["down"] for e in edges.values()) and changes.where("kind = 'cooccurrence'").count() == sum(not e["explicit"] for e in edges.values())
+    assert changes.where("kind = 'weakened'").count() == sum(x["down"] for x in concepts.values()) and {r.label for r in changes.where("kind = 'weakened'").collect()} <= set(concepts)
 
     first, _ = W.ingest(spark.createDataFrame(rows[:25], SCHEMA))
     both, _ = W.ingest(spark.createDataFrame(rows[25:], SCHEMA), W.written(first, cut))
@@ -123,6 +135,35 @@ def test_ingest_is_the_sequential_passes(spark, rows):
     assert same(both.source_refs) == same(world.source_refs) and same(both.token_refs) == same(world.token_refs) and same(both.pending) == same(world.pending)
 
 
+def test_priors_are_mixed_in_order(spark, rows):
+    """Priors set births and are weighed with what is known, between reinforcements and weakenings; the last prior of a relation counts."""
+    cut, rng = checkpointed(spark), random.Random(5)
+    specs = {r.label: (r.axis, r.structural, r.propagation, r.relation) for r in V.with_spec(spark.createDataFrame([(x,) for x in LABELS], "label string"), "label").collect()}
+    given, priors = [], {}
+    for o in rows:
+        mine = [(a, b, label, rng.choice([0.0, 0.3, 0.55, 0.9, 1.4]), rng.choice([1.0, 1.0, 3.0, 0.0, 250.0])) for a, b, label in o[6] if rng.random() < 0.6]
+        mine += [("a", "h", "supports", 0.5, 1.0)] * rng.randint(0, 1) + mine[:1] * rng.randint(0, 1)
+        priors |= {(o[0], a, b, specs[label][3]): (p, s) for a, b, label, p, s in mine}
+        given.append((*o, mine))
+    schema = SCHEMA + ", relation_priors array<struct<source:string,target:string,relation_type:string,probability:double,strength:double>>"
+    table = spark.createDataFrame(given, schema)
+    concepts, edges, _ = sequential(rows, specs, priors)
+    want = {k: (e["ends"], e["relation"], *(round(e[x], 6) for x in "wcp"), e["up"], e["down"], e["explicit"]) for k, e in edges.items()}
+    plain = sequential(rows, specs)[1]
+    assert any(abs(edges[k]["w"] - plain[k]["w"]) > 0.1 for k in edges)
+    world, _ = W.ingest(table)
+    assert told(W.written(world, cut))[1] == want
+    first, _ = W.ingest(table.where("obs_id < 20"))
+    both, _ = W.ingest(table.where("obs_id >= 20"), W.written(first, cut))
+    assert told(W.written(both, cut))[1] == want
+
+
+def test_all_pairs_without_a_cap(spark):
+    rows = [(i, datetime(2024, 1, 1 + i), "t", "", "s", [f"n{k:02d}" for k in range(12)], [], [], [], {}) for i in range(2)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert W.ingest(table)[0].edges.count() == 30 and W.ingest(table, pair_cap=None)[0].edges.count() == 66
+
+
 def test_a_shared_observation_reinforces_an_explicit_edge(spark):
     rows = [(i, datetime(2024, 1, 1 + i), "t", "", "s", ["a", "b"], [("a", "b", "supports")] if i == 0 else [], [], [], {}) for i in range(6)]
     edge = W.ingest(spark.createDataFrame(rows, SCHEMA))[0].edges.collect()
