@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import sessions as D
-from ..scratch import checkpointed
+from ..scratch import folder
 from ..sources import tables as B
 from ..sources import texts as T
 from ..streaming import streams as I
@@ -121,16 +121,14 @@ def split(t: Inputs):
 
 @query("a02_world_snapshot", "SELECT id, confidence, maturity, domain FROM {concepts}")
 def snapshot(t: Inputs):
-    checkpointed(t.spark)
-    at = f"{t.spark.sparkContext.getCheckpointDir()}/world-{uuid.uuid4().hex}"
+    at = f"{folder(t.spark)}/world-{uuid.uuid4().hex}"
     B.write_world({"concepts": t.concepts.withColumn("space_id", F.lit("main"))}, at, 1)
     return B.read_world(t.spark, at, ["concepts"], 1)["concepts"].select("id", "confidence", "maturity", "domain")
 
 
 @query("a01_read_observations", "SELECT obs_id::VARCHAR AS obs_id, task, '' AS domain, count(*) AS n FROM {mentions} GROUP BY 1, 2")
 def observations(t: Inputs):
-    checkpointed(t.spark)
-    at = f"{t.spark.sparkContext.getCheckpointDir()}/observations-{uuid.uuid4().hex}"
+    at = f"{folder(t.spark)}/observations-{uuid.uuid4().hex}"
     t.mentions.groupBy(F.col("obs_id").cast("string").alias("obs_id"), "ts", "task").agg(F.collect_list("concept").alias("concepts")).write.json(at)
     return B.read_observations(t.spark, at).select("obs_id", "task", "domain", F.size("concepts").cast("long").alias("n"))
 
@@ -222,13 +220,11 @@ def activity(t: Inputs):
 @query("i01_stream_evidence", "SELECT concept, count(*) FILTER (kind = 'activate') AS activation_count, count(*) FILTER (kind = 'weaken') AS disconfirmation_count FROM {evidence} GROUP BY 1")
 def stream(t: Inputs):
     """The events table as a stream: micro-batches fold into a table of counts that is written anew with each batch."""
-    checkpointed(t.spark)
     return I.stream_counts(t.spark, t.sf_dir)
 
 
 @query("i04_stream_sources", f"WITH {SOURCE} SELECT id FROM src")
 def stream_sources(t: Inputs):
-    checkpointed(t.spark)
     return I.stream_sources(t.spark, t.sf_dir)
 
 
@@ -237,7 +233,6 @@ def stream_sources(t: Inputs):
     SELECT concept, n, round(list_reduce(list_prepend(15e-2, d), lambda x, y: CASE WHEN y > 0 THEN least(1e0, x + y) ELSE greatest(1e-2, x + y) END), 4) AS confidence FROM l""")
 def keyed_state(t: Inputs):
     """Confidences in Spark's keyed state; the last row of a concept is its result."""
-    checkpointed(t.spark)
     e = I.table_stream(t.spark, t.sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "weaken").otherwise("activate")
     rows = I.collected(I.evidence_state(e.select(F.concat(F.lit("u"), "user_id").alias("concept"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"))), "update")
@@ -247,7 +242,6 @@ def keyed_state(t: Inputs):
 
 @query("i03_pending_pairs", "SELECT l_partkey AS a, l_suppkey AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def pending(t: Inputs):
-    checkpointed(t.spark)
     e = I.table_stream(t.spark, t.sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_shipdate").cast("timestamp").alias("ts"))
     return I.collected(I.pending_pairs(e), "update").groupBy("a", "b").agg(F.max("n").alias("n"))
 
@@ -255,13 +249,11 @@ def pending(t: Inputs):
 @query("i03_found_pairs", "SELECT l_partkey AS a, l_suppkey AS b, 2 AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2")
 def found_pairs(t: Inputs):
     """Pairs that reach two sightings, in Spark's keyed state."""
-    checkpointed(t.spark)
     e = I.table_stream(t.spark, t.sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_shipdate").cast("timestamp").alias("ts"))
     return I.collected(I.found_pairs(e), "append").select("a", "b", "n")
 
 
 @query("i06_turn_batches", "SELECT conv_id, count(*) // 3 AS documents FROM conversations GROUP BY 1 HAVING count(*) >= 3")
 def turn_batches(t: Inputs):
-    checkpointed(t.spark)
     e = I.table_stream(t.spark, t.sf_dir, "conversations").select("conv_id", "turn", "text")
     return I.collected(I.turn_batches(e), "append").groupBy("conv_id").agg(F.count("*").alias("documents"))
