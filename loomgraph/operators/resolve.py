@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SALIENCE, identity_key, norm_identity, signature_tokens, strip
+from ..scratch import Cut, checkpointed
+from .components import components
 
 #: What a similarity across domains counts.
 DOMAIN_FACTOR = 0.3
@@ -85,50 +87,133 @@ def consolidate_by_signature(candidates: DataFrame, concepts: DataFrame, least:
     return similar_pairs(candidates, concepts, least).groupBy("q").agg(best.alias("b")).select("q", "b.c", "b.similarity")
 
 
-def match_synonyms(candidates: DataFrame, concepts: DataFrame, least: float = 0.78) -> DataFrame:
-    """(q, c, score): the best concept whose kind and domain don't contradict and whose sense says the same.
+def _meaning(df: DataFrame, k: str) -> DataFrame:
+    """(k, kind, domain, sense, s, l): what a synonym is judged by; without tokens of the sense a card says nothing."""
+    kind = F.when(norm_identity(F.col("kind")).isin(SALIENCE), "").otherwise(norm_identity(F.col("kind")))
+    sense = F.coalesce(F.when(strip(F.col("sense")) != "", F.col("sense")), F.col("description"), F.lit(""))
+    label = signature_tokens(F.col("name"), F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
+    own = df.select(F.col("id").alias(k), kind.alias("kind"), norm_identity(F.col("domain")).alias("domain"), norm_identity(sense).alias("sense"), signature_tokens(sense).alias("s"), label.alias("l"))
+    return own.where(F.size("s") > 0)
+
+
+def _fitting(text: str, asks: bool) -> Column:
+    """Join keys under which two texts meet once if they are equal or one is empty, and else never."""
+    own, empty = F.col(text), F.col(text) == ""
+    if asks:
+        return F.when(empty, F.array(F.lit("="), F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), own), F.lit("=")))
+    return F.when(empty, F.array(F.lit("="))).otherwise(F.array(F.concat(F.lit("="), own), F.lit("*")))
+
+
+def synonym_pairs(candidates: DataFrame, concepts: DataFrame, least: float = 0.78) -> DataFrame:
+    """(q, c, score): candidates and concepts whose kind and domain don't contradict and whose sense says the same.
 
-    candidates and concepts: id, name, aliases, kind, domain, sense, description. Pairs share a token of sense or description.
+    candidates and concepts: id, name, aliases, kind, domain, sense, description; tokens are those of the sense, or else of the description.
+    A pair fits in one of three ways, and each has its own filter. Equal senses meet by a hash of the sense. Sets with a Jaccard similarity of .82
+    meet at one of the few rarest tokens that such sets must share. Sets of which the smaller lies to .6 in the larger, under names with a word
+    in common, meet at a word of the name and one of the n - ceil(.6 n) + 1 rarest tokens of the smaller set: one of those is in the larger set.
     """
-    kind = lambda c: F.when(norm_identity(F.col(c)).isin(SALIENCE), "").otherwise(norm_identity(F.col(c)))
-
-    def side(df: DataFrame, k: str) -> DataFrame:
-        sense = F.coalesce(F.when(strip(F.col("sense")) != "", F.col("sense")), F.col("description"), F.lit(""))
-        label = signature_tokens(F.col("name"), F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
-        return df.select(F.col("id").alias(k), kind("kind").alias(f"kind_{k}"), norm_identity(F.col("domain")).alias(f"domain_{k}"), norm_identity(sense).alias(f"sense_{k}"), signature_tokens(sense).alias(f"s_{k}"), label.alias(f"l_{k}"))
-
-    q, c = side(candidates, "q"), side(concepts, "c")
-    index = lambda df, k: df.select(k, F.explode(f"s_{k}").alias("token"))
-    pairs = index(q, "q").join(index(c, "c"), "token").groupBy("q", "c").agg(F.count("*").alias("shared"))
-    rows = pairs.join(q, "q").join(c, "c")
-    fits = lambda name: (F.col(f"{name}_q") == "") | (F.col(f"{name}_c") == "") | (F.col(f"{name}_q") == F.col(f"{name}_c"))
-    n_q, n_c, k = F.size("s_q"), F.size("s_c"), F.col("shared")
+    q, c = _meaning(candidates, "q"), _meaning(concepts, "c")
+    every = q.select(F.explode("s").alias("token")).union(c.select(F.explode("s").alias("token")))
+    frequency = every.groupBy("token").agg(F.count("*").alias("f"))
+
+    def by_rarity(df: DataFrame, k: str) -> DataFrame:
+        rows = df.select(k, F.explode("s").alias("token")).join(frequency, "token")
+        rows = rows.groupBy(k).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"]).alias("s"))
+        return df.drop("s").join(rows, k)
+
+    cut = checkpointed(candidates.sparkSession)
+    q, c = cut(by_rarity(q, "q")), cut(by_rarity(c, "c"))  # each way to meet reads both
+    rarest = lambda share: F.slice("s", 1, F.size("s") - F.ceil(F.size("s") * share - 1e-9).cast("int") + 1)
+    shown = lambda df, k: df.select(k, "kind", "domain", "sense", "l", "s").toDF(k, *[f"{x}_{k}" for x in ("kind", "domain", "sense", "l", "s")])
+
+    def meet(tokens_q: Column, tokens_c: Column, name: bool) -> DataFrame:
+        """Pairs that share one of these tokens and, if asked, a word of the name."""
+        keys = ["_kind", "_domain", "token", *(["word"] if name else [])]
+
+        def side(df: DataFrame, k: str, tokens: Column) -> DataFrame:
+            out = df.withColumn("_kind", F.explode(_fitting("kind", k == "q"))).withColumn("_domain", F.explode(_fitting("domain", k == "q")))
+            out = out.withColumn("token", F.explode(tokens))
+            return (out.withColumn("word", F.explode("l")) if name else out).select(k, *keys)
+
+        return side(q, "q", tokens_q).join(side(c, "c", tokens_c), keys).select("q", "c")
+
+    equal = meet(F.array("sense"), F.array("sense"), name=False)
+    pairs = equal.union(meet(rarest(0.82), rarest(0.82), name=False))
+    # Either may be the smaller set.
+    pairs = cut(pairs.union(meet(rarest(0.6), F.col("s"), name=True)).union(meet(F.col("s"), rarest(0.6), name=True)).distinct())
+    rows = pairs.join(shown(q, "q"), "q").join(shown(c, "c"), "c")
+    n_q, n_c, k = F.size("s_q"), F.size("s_c"), F.size(F.array_intersect("s_q", "s_c"))
     jaccard, contained = k / (n_q + n_c - k), k / F.least(n_q, n_c)
     lexical, exact = F.arrays_overlap("l_q", "l_c"), F.col("sense_q") == F.col("sense_c")
     score = F.when(lexical & ((contained >= 0.6) | (exact & (n_q >= 3))), F.greatest(F.lit(0.9), contained)).when(exact & (jaccard >= 0.78), jaccard).when((k >= 4) & (jaccard >= 0.82), jaccard)
-    rows = rows.where(fits("kind") & fits("domain")).withColumn("score", score).where(F.col("score") >= least)
-    return rows.groupBy("q").agg(F.min_by(F.struct("c", "score"), F.struct(-F.col("score"), "c")).alias("b")).select("q", "b.c", "b.score")
+    return rows.select("q", "c", score.alias("score")).where(F.col("score") >= least)
 
 
-def resolve_or_create(candidates: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(id, concept_id, how): candidates in stages, each on what is left: key, synonym, label, signature, new.
+def match_synonyms(candidates: DataFrame, concepts: DataFrame, least: float = 0.78) -> DataFrame:
+    """(q, c, score): for each candidate the best of its synonym_pairs, ties by id."""
+    best = F.min_by(F.struct("c", "score"), F.struct(-F.col("score"), "c"))
+    return synonym_pairs(candidates, concepts, least).groupBy("q").agg(best.alias("b")).select("q", "b.c", "b.score")
+
 
-    candidates: id, name, kind, sense, domain, description, aliases. Concepts carry identity_key.
-    Candidates of one key share the new concept, whose id is the key.
+def _within(left: DataFrame, cut: Cut) -> DataFrame:
+    """(key, first): candidates of one batch that match each other, by synonym, name or signature, under the key of the first of them.
+
+    left: candidates with `key`; candidates of one key are one. The first is the one with the smallest id. Each key is linked with its best
+    match among those that come before it; what is linked becomes one. Where earlier ones have the same sense, kind and domain, the first
+    of them is the best match, so however many say the same, only that first one is compared with others.
+    """
+    pick = F.min_by(F.struct("id", "name", "kind", "sense", "domain", "description", "aliases"), "id")
+    one = cut(left.groupBy("key").agg(pick.alias("x")).select("key", "x.*"))
+    order = one.select(F.col("key").alias("_k"), F.col("id").alias("_at"))
+    keyed = one.withColumn("id", F.col("key"))
+
+    def earlier(pairs: DataFrame, score: str) -> DataFrame:
+        rows = pairs.join(order.toDF("q", "_q"), "q").join(order.toDF("c", "_c"), "c").where(F.col("_c") < F.col("_q"))
+        best = F.min_by("c", F.struct(-F.col(score), "_c"))
+        return rows.groupBy("q").agg(best.alias("c"))
+
+    plain = (strip(F.col("kind")) == "") & (strip(F.col("sense")) == "")
+    meant = _meaning(keyed, "q").select("q", "sense", "kind", "domain").join(order.toDF("q", "_at"), "q")
+    heads = meant.groupBy("sense", "kind", "domain").agg(F.min_by("q", "_at").alias("c"))
+    same = cut(meant.join(heads, ["sense", "kind", "domain"]).where("q <> c").select("q", "c"))
+    asking = keyed.join(same.select(F.col("q").alias("id")), "id", "left_anti")
+    synonym = same.union(earlier(synonym_pairs(asking, keyed), "score"))
+    rest = keyed.join(synonym.select(F.col("q").alias("key")), "key", "left_anti")
+    named = rest.where(plain).select(F.col("key").alias("q"), F.lower(strip(F.col("name"))).alias("_l"))
+    labels = label_index(keyed).select(F.col("label").alias("_l"), F.col("id").alias("c"))
+    label = earlier(named.join(labels, "_l").withColumn("score", F.lit(1.0)).select("q", "c", "score"), "score")
+    rest = rest.join(label.select(F.col("q").alias("key")), "key", "left_anti").where(plain & (strip(F.col("description")) != ""))
+    signature = earlier(similar_pairs(rest, keyed, 0.6), "similarity")
+    links = synonym.union(label).union(signature).join(order.toDF("q", "_q"), "q").join(order.toDF("c", "_c"), "c")
+    groups = components(links.select(F.col("_q").alias("a"), F.col("_c").alias("b")), cut)
+    firsts = groups.join(order.toDF("first", "label"), "label").select("id", "first")
+    return order.toDF("key", "id").join(firsts, "id", "left").select("key", F.coalesce("first", "key").alias("first"))
+
+
+def resolve_or_create(candidates: DataFrame, concepts: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """(id, concept_id, how): candidates in stages, each on what is left: key, synonym, label, signature, batch, new.
+
+    candidates: id, name, kind, sense, domain, description, aliases. Concepts carry identity_key. Candidates of one key share the new concept; so
+    do those of the batch that match each other (how is `batch` for all but the ones with the first's key), and its id is the key of the first.
     """
+    cut = cut or checkpointed(candidates.sparkSession)
     key = identity_key(F.col("name"), F.col("kind"), F.col("sense"), F.col("domain"), F.col("description"))
-    left = candidates.withColumn("key", key)
+    left = cut(candidates.withColumn("key", key))
     by_key = concepts.groupBy("identity_key").agg(F.min("id").alias("c"))
-    done = left.join(by_key, F.col("key") == F.col("identity_key")).select("id", F.col("c").alias("concept_id"), F.lit("key").alias("how"))
+    done = cut(left.join(by_key, F.col("key") == F.col("identity_key")).select("id", F.col("c").alias("concept_id"), F.lit("key").alias("how")))
     left = left.join(done, "id", "left_anti")
-    synonym = match_synonyms(left, concepts).select(F.col("q").alias("id"), F.col("c").alias("concept_id"), F.lit("synonym").alias("how"))
+    synonym = cut(match_synonyms(left, concepts).select(F.col("q").alias("id"), F.col("c").alias("concept_id"), F.lit("synonym").alias("how")))
     left = left.join(synonym, "id", "left_anti")
     plain = (strip(F.col("kind")) == "") & (strip(F.col("sense")) == "")
-    labels = label_index(concepts)
-    label = left.where(plain).join(labels.select(F.col("label"), F.col("id").alias("c")), F.lower(strip(F.col("name"))) == F.col("label")).select("id", F.col("c").alias("concept_id"), F.lit("label").alias("how"))
+    labels = label_index(concepts).select("label", F.col("id").alias("c"))
+    label = left.where(plain).join(labels, F.lower(strip(F.col("name"))) == F.col("label"))
+    label = cut(label.select("id", F.col("c").alias("concept_id"), F.lit("label").alias("how")))
     left = left.join(label, "id", "left_anti")
-    signature = consolidate_by_signature(left.where(plain & (strip(F.col("description")) != "")), concepts).select(F.col("q").alias("id"), F.col("c").alias("concept_id"), F.lit("signature").alias("how"))
-    new = left.join(signature, "id", "left_anti").select("id", F.col("key").alias("concept_id"), F.lit("new").alias("how"))
+    described = left.where(plain & (strip(F.col("description")) != ""))
+    signature = cut(consolidate_by_signature(described, concepts).select(F.col("q").alias("id"), F.col("c").alias("concept_id"), F.lit("signature").alias("how")))
+    left = cut(left.join(signature, "id", "left_anti"))
+    own = F.when(F.col("key") == F.col("first"), "new").otherwise("batch")
+    new = left.join(_within(left, cut), "key").select("id", F.col("first").alias("concept_id"), own.alias("how"))
     return done.union(synonym).union(label).union(signature).union(new)
 
 
@@ -170,30 +255,112 @@ def resolve_refs(rows: DataFrame, local: DataFrame, concepts: DataFrame, ref: st
     return out.withColumn("concept", F.coalesce("_near", "_far")).where("concept is not null").drop("_r", "_near", "_far")
 
 
+def keepers(mapping: DataFrame, cut: Cut) -> DataFrame:
+    """(old, keeper) with chains followed to their end: of a -> b and b -> c both a and b go to c.
+
+    An old one with several keepers goes to the smallest; what leads into a cycle has no end and goes to the smallest id of all that does;
+    null ids and an id that is its own keeper say nothing. What is linked is found by components, whose pointers jump, so long chains halve.
+    """
+    links = mapping.where("old is not null and keeper is not null and old <> keeper").groupBy("old").agg(F.min("keeper").alias("keeper"))
+    links = cut(links)
+    parts = cut(components(links.select(F.col("old").alias("a"), F.col("keeper").alias("b")), cut))
+    last = links.select(F.col("keeper").alias("id")).distinct().join(links.select(F.col("old").alias("id")), "id", "left_anti")
+    last = last.join(parts, "id").select("label", F.col("id").alias("_end"))  # one at most for each part
+    out = links.select(F.col("old").alias("id")).join(parts, "id").join(last, "label", "left")
+    return out.select(F.col("id").alias("old"), F.coalesce("_end", "label").alias("keeper")).where("old <> keeper")
+
+
+MATURITY = ("fading", "embryonic", "developing", "established", "core")
+
+
+def rekeyed(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """rows with the ids of a column replaced by their keepers (old, keeper)."""
+    to = mapping.select(F.col("old").alias(column), F.col("keeper").alias("_keeper"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("_keeper", column)).select(*rows.columns)
+
+
 def merge_concepts(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Concepts folded into their keepers. mapping: (old, keeper), chains resolved.
+    """Concepts folded into their keepers. mapping: (old, keeper), chains resolved (see `keepers`).
 
-    Counts add up, confidence and times take the largest, names and aliases of the merged become aliases.
+    Counts add up, confidence and times take the largest, the maturity is the most advanced, the keeper's description and domain stay unless they
+    are empty, names and aliases of the merged become aliases, tags and logs are united, domain profiles added up to 1. Of these
+    columns those that are there: disconfirmation_count, last_weakened, maturity, tags, domain_profile, reinforcement_log.
     """
     m = concepts.join(mapping, F.col("id") == F.col("old"), "left").withColumn("keeper", F.coalesce("keeper", "id"))
     order = F.struct(F.when(F.col("id") == F.col("keeper"), 0).otherwise(1), "id")
     first = lambda c: F.min_by(F.when(strip(F.col(c)) != "", F.col(c)), F.when(strip(F.col(c)) != "", order)).alias(c)
     names = F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rank = F.array_position(F.array(*[F.lit(x) for x in MATURITY]), F.col("maturity")) if "maturity" in concepts.columns else None
+    more = {
+        "disconfirmation_count": lambda c: F.sum(c),
+        "last_weakened": lambda c: F.max(c),
+        "maturity": lambda c: F.max_by(c, rank),
+        "tags": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))),
+        "reinforcement_log": lambda c: F.array_sort(F.flatten(F.collect_list(c))),
+    }
+    extra = [c for c in more if c in concepts.columns]
     out = m.withColumn("_n", names).groupBy("keeper").agg(
         F.min_by("name", order).alias("name"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("_n")))).alias("_all"), first("description"), first("domain"),
         F.max("confidence").alias("confidence"), F.sum("activation_count").alias("activation_count"), F.max("last_activated").alias("last_activated"),
+        *[more[c](c).alias(c) for c in extra],
     )
-    return out.select(F.col("keeper").alias("id"), "name", F.array_except("_all", F.array("name")).alias("aliases"), "description", "domain", "confidence", "activation_count", "last_activated")
+    columns = [F.col("keeper").alias("id"), "name", F.array_except("_all", F.array("name")).alias("aliases"), "description", "domain", "confidence", "activation_count", "last_activated", *extra]
+    if "domain_profile" not in concepts.columns:
+        return out.select(*columns)
+    each = m.select("keeper", F.explode("domain_profile").alias("_k", "_v")).groupBy("keeper", "_k").agg(F.least(F.lit(1.0), F.sum("_v")).alias("_v"))
+    profile = each.groupBy("keeper").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("domain_profile"))
+    empty = F.create_map().cast("map<string,double>")
+    return out.join(profile, "keeper", "left").withColumn("domain_profile", F.coalesce("domain_profile", empty)).select(*columns, "domain_profile")
+
+
+def merge_colors(colors: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, label, strength) of the keepers: strengths of one label added up to 1."""
+    return rekeyed(colors, mapping, "id").groupBy("id", "label").agg(F.least(F.lit(1.0), F.sum("strength")).alias("strength"))
+
+
+def merge_references(refs: DataFrame, mapping: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
+    """References (concept, ..., n, first_seen_at, last_seen_at) of the keepers: counts added up, the widest times, of other columns the first not empty."""
+    own = F.struct(F.when(F.col("_was") == F.col("concept"), 0).otherwise(1), "_was")
+    rows = rekeyed(refs.withColumn("_was", F.col("concept")), mapping, "concept")
+
+    def first(c: str) -> Column:
+        there = F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        return F.min_by(c, F.when(there, own)).alias(c)
+
+    out = rows.groupBy(*key).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("n").alias("n"), *[first(c) for c in texts])
+    return out.select(*refs.columns)
+
+
+def merged_tokens(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(concept, token, role) of the keepers for what was merged into them: its name (merged_name) and its aliases (merged_alias)."""
+    rows = concepts.join(mapping, F.col("id") == F.col("old"))
+    names = rows.select(F.col("keeper").alias("concept"), F.lower(strip(F.col("name"))).alias("token"), F.lit("merged_name").alias("role"))
+    also = rows.select(F.col("keeper").alias("concept"), F.explode("aliases").alias("token")).select("concept", F.lower(strip(F.col("token"))), F.lit("merged_alias"))
+    return names.union(also).where("token <> ''").groupBy("concept", "token").agg(F.max("role").alias("role"))
 
 
 def migrate_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with their ends rewritten (old, keeper): self loops go, equal (source, target, axis) become one."""
-    m = edges
+    """Edges with their ends rewritten (old, keeper): self loops go, equal (source, target, axis) become one.
+
+    Weight and confidence add up to 1, the probability is the largest, counts add up, the last reinforcement counts, tasks are united; of other
+    columns that are there (disconfirmation_count, task_history, is_explicit, relation) an edge that had these ends before goes first.
+    """
+    m = edges.withColumns({"_s": F.col("source_id"), "_t": F.col("target_id")})
     for end in ("source_id", "target_id"):
-        side = mapping.select(F.col("old").alias("_old"), F.col("keeper").alias("_keeper"))
-        m = m.join(side, F.col(end) == F.col("_old"), "left").withColumn(end, F.coalesce("_keeper", end)).drop("_old", "_keeper")
+        m = rekeyed(m, mapping, end)
     cap = lambda c: F.least(F.lit(1.0), F.sum(c)).alias(c)
-    return m.where("source_id <> target_id").groupBy("source_id", "target_id", "axis").agg(cap("weight"), cap("confidence"), F.max("probability").alias("probability"), F.sum("reinforcement_count").alias("reinforcement_count"), F.max("last_reinforced").alias("last_reinforced"))
+    order = F.struct(F.when((F.col("_s") == F.col("source_id")) & (F.col("_t") == F.col("target_id")), 0).otherwise(1), "_s", "_t")
+    more = {
+        "disconfirmation_count": lambda c: F.sum(c),
+        "task_history": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))),
+        "is_explicit": lambda c: F.min_by(c, order),
+        "relation": lambda c: F.min_by(c, order),
+    }
+    own = [more[c](c).alias(c) for c in more if c in edges.columns]
+    return m.where("source_id <> target_id").groupBy("source_id", "target_id", "axis").agg(
+        cap("weight"), cap("confidence"), F.max("probability").alias("probability"), F.sum("reinforcement_count").alias("reinforcement_count"),
+        F.max("last_reinforced").alias("last_reinforced"), *own,
+    )
 
 
 def split_concept(concepts: DataFrame, concept_id: str, new_id: str, new_name: str, moved: list[str]) -> DataFrame:

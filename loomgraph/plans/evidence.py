@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.scalars import identity_key
 from ..operators import cooccurrence as C
 from ..operators import evidence as E
 from ..operators import lifecycle as L
 from ..operators import resolve as R
+from ..scratch import checkpointed
 from ..sources import tables as T
 from .registry import Inputs, query
 
@@ -244,11 +246,16 @@ def synonyms(t: Inputs):
 
 @query("c02_resolve_or_create")
 def resolve_or_create(t: Inputs):
-    known = _parts(t).where("p_partkey % 20 <> 0")
-    from ..functions.scalars import identity_key
+    """All parts, of which the twentieths are known already."""
+    known = _candidates(t)
+    key = identity_key(F.col("name"), F.col("kind"), F.col("sense"), F.col("domain"), F.col("description"))
+    return R.resolve_or_create(_parts(t).where("p_partkey % 20 <> 0"), known.withColumn("identity_key", key))
 
-    known = known.withColumn("identity_key", identity_key(F.col("name"), F.col("kind"), F.col("sense"), F.col("domain"), F.col("description")))
-    return R.resolve_or_create(_candidates(t), known)
+
+@query("c06_set_aliases", """SELECT concat('p', p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN ['set ' || p_partkey] ELSE [p_name || ' ' || p_brand] END AS aliases FROM part""")
+def set_aliases(t: Inputs):
+    new = t.part.where("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.lit("set "), "p_partkey").alias("alias"))
+    return R.set_aliases(_parts(t), new).select("id", "aliases")
 
 
 @query("c06_add_aliases", "WITH " + UNIQUE + """, o AS (SELECT concat('p', p_partkey) AS id, lower(p_brand || ' ' || p_partkey) AS a FROM part)
@@ -277,6 +284,26 @@ def merge(t: Inputs):
     return R.merge_concepts(c, _mapping(t)).select("id", "name", "confidence", "activation_count")
 
 
+@query("c10_merge_chains", """WITH RECURSIVE m AS (SELECT p_partkey AS old, p_partkey - 1 AS keeper FROM part WHERE p_partkey % 10 BETWEEN 1 AND 4 AND p_partkey > 10),
+    r AS (SELECT old, keeper FROM m UNION ALL SELECT r.old, m.keeper FROM r JOIN m ON m.old = r.keeper),
+    k AS (SELECT p.*, coalesce((SELECT min(keeper) FROM r WHERE r.old = p.p_partkey), p.p_partkey) AS k, CASE WHEN p_size > 40 THEN 4 WHEN p_size > 20 THEN 2 ELSE 1 END AS rank FROM part p),
+    s AS (SELECT k, p_brand, least(1, sum(p_size / 100e0)) AS strength FROM k GROUP BY 1, 2),
+    f AS (SELECT k, array_to_string(list(p_brand || '=' || printf('%.2f', strength) ORDER BY p_brand), ';') AS profile FROM s GROUP BY 1)
+    SELECT concat('p', k.k) AS id, max(p_name) FILTER (p_partkey = k.k) AS name, max(p_size / 100e0) AS confidence, sum(p_size)::BIGINT AS activation_count, sum(p_partkey % 3)::BIGINT AS disconfirmation_count,
+        CASE max(rank) WHEN 4 THEN 'core' WHEN 2 THEN 'developing' ELSE 'embryonic' END AS maturity, array_to_string(list_sort(list(DISTINCT p_brand)), ';') AS tags, count(*) AS log, max(profile) AS profile FROM k JOIN f ON f.k = k.k GROUP BY k.k""")
+def merge_chains(t: Inputs):
+    """Parts whose number ends in 1 to 4 are merged into the part before, so four of them end at the one that ends in 0."""
+    mapping = t.part.where("p_partkey % 10 between 1 and 4 and p_partkey > 10").select(F.concat(F.lit("p"), "p_partkey").alias("old"), F.concat(F.lit("p"), (F.col("p_partkey") - 1)).alias("keeper"))
+    brand = t.part.select("p_partkey", "p_brand", "p_size")
+    c = _parts(t).join(brand, "p_partkey").withColumns({
+        "last_activated": F.lit(None).cast("timestamp"), "disconfirmation_count": F.col("p_partkey") % 3, "tags": F.array("p_brand"), "domain_profile": F.create_map("p_brand", F.col("p_size") / 100),
+        "maturity": F.when(F.col("p_size") > 40, "core").when(F.col("p_size") > 20, "developing").otherwise("embryonic"), "reinforcement_log": F.array(F.col("p_partkey")),
+    })
+    out = R.merge_concepts(c, R.keepers(mapping, checkpointed(t.spark)))
+    profile = F.transform(F.map_entries("domain_profile"), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
+    return out.select("id", "name", "confidence", "activation_count", "disconfirmation_count", "maturity", F.array_join("tags", ";").alias("tags"), F.size("reinforcement_log").cast("long").alias("log"), F.array_join(profile, ";").alias("profile"))
+
+
 @query("c11_migrate_edges", """WITH m AS (SELECT CASE WHEN source_id LIKE '%3' THEN concat('p', substr(source_id, 2)::INT - 1) ELSE source_id END AS s, CASE WHEN target_id LIKE '%3' THEN concat('p', substr(target_id, 2)::INT - 1) ELSE target_id END AS t, * FROM {edges})
     SELECT s AS source_id, t AS target_id, axis, round(least(1, sum(weight)), 6) AS weight, max(probability) AS probability, sum(reinforcement_count)::BIGINT AS reinforcement_count FROM m WHERE s <> t GROUP BY 1, 2, 3""")
 def migrate(t: Inputs):
