@@ -48,7 +48,7 @@ def activate(
     strongest counts. `factor` maps an axis to its weight. Negative edges inhibit and pass nothing on.
     """
     task = F.lower(F.trim(F.coalesce("task", F.lit(""))))
-    q = F.broadcast(queries.select("query_id", task.alias("task"), F.coalesce("active_domains", F.array().cast("array<string>")).alias("focus")))
+    q = queries.select("query_id", task.alias("task"), F.coalesce("active_domains", F.array().cast("array<string>")).alias("focus"))
     nodes = _with_defaults(concepts, tasks="array<string>", domain="string").select(
         "id", "confidence", "domain", F.col("tasks").alias("c_tasks"), concept_freshness(F.col("last_activated"), as_of).alias("fresh"), F.greatest("confidence", F.lit(READINESS)).alias("ready")
     )
@@ -63,10 +63,10 @@ def activate(
     score = F.when(_matches(F.col("c_tasks"), F.col("task")), F.least(F.lit(1.0), F.col("confidence") * TASK_BOOST)).otherwise(F.col("confidence"))
     score = F.when(in_focus, F.least(F.lit(1.0), score * DOMAIN_BOOST)).otherwise(score)
     state = first.select("query_id", "id", score.alias("activation"))
-    floor = F.broadcast(state.groupBy("query_id").agg((F.max("activation") * FLOOR_RATIO).alias("floor")))
+    q = q.join(state.groupBy("query_id").agg((F.max("activation") * FLOOR_RATIO).alias("floor")), "query_id")
     frontier, inhibited = state, None
     for depth in range(max_depth):
-        sent = frontier.where(F.col("activation") >= least).join(near, "id").join(q, "query_id").join(floor, "query_id")
+        sent = frontier.where(F.col("activation") >= least).join(q, "query_id").join(near, "id")
         boost = F.when(_matches(F.col("e_tasks"), F.col("task")) | _matches(F.col("c_tasks"), F.col("task")), TASK_BOOST).otherwise(1.0) * F.when(in_focus, DOMAIN_BOOST).otherwise(1.0)
         raw = F.col("activation") * F.col("strength") * F.col("ready") * F.lit(decay ** (depth + 1)) * boost * F.col("e_fresh") * F.col("fresh")
         sent = sent.select("query_id", F.col("neighbor").alias("id"), "axis", raw.alias("raw"), "floor")
@@ -94,19 +94,30 @@ def select_mmr(scores: DataFrame, queries: DataFrame, concepts: DataFrame, edges
 
     Redundancy is the largest Jaccard similarity of neighbour sets with a chosen concept. Rounds are bounded by k; within a
     round all queries and candidates go in parallel. `cut` may write the state between rounds.
+
+    A candidate's value, (1 - share) relevance - share likeness, only falls, and likeness is 1 at most. So in each of the k rounds there is
+    one left of the k most relevant whose value is (1 - share) r_k - share or more, and who stays below that with no likeness at all is never
+    chosen: only the others get neighbour sets and go through the rounds. Values are compared with nine digits.
     """
     task = F.lower(F.trim(F.coalesce("task", F.lit(""))))
     info = _with_defaults(concepts, tasks="array<string>").select("id", F.col("tasks").alias("c_tasks"), concept_freshness(F.col("last_activated"), as_of).alias("fresh"))
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    rows = scores.select("query_id", "id", "score").join(top, "query_id").join(F.broadcast(queries.select("query_id", task.alias("task"))), "query_id").join(info, "id", "left").join(neighbor_sets(edges), "id", "left")
+    asked = queries.select("query_id", task.alias("task"))
+    rows = scores.select("query_id", "id", "score").join(top, "query_id").join(asked, "query_id").join(info, "id", "left")
     fits = F.when((F.col("task") == "") | _matches(F.col("c_tasks"), F.col("task")), 1.0).otherwise(TASK_DISCOUNT)
     relevance = F.col("score") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top")) * fits * (1 - FRESH_SHARE + FRESH_SHARE * F.coalesce("fresh", F.lit(1.0)))
+    rows = rows.select("query_id", "id", "score", relevance.alias("relevance"))
+    rows = cut(rows) if cut else rows
+    kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id"))
+    bound = rows.withColumn("_r", kth).where(F.col("_r") <= k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("relevance").alias("_least"))
+    low = F.when(F.col("_n") == k, (1 - share) * F.col("_least") - share - 1e-6).otherwise(float("-inf"))
+    rows = rows.join(bound.select("query_id", low.alias("_low")), "query_id").where((1 - share) * F.col("relevance") >= F.col("_low")).drop("_low")
     none = F.array().cast("array<string>")
-    left = rows.select("query_id", "id", "score", relevance.alias("relevance"), F.coalesce(F.col("neighbors").cast("array<string>"), none).alias("neighbors"), F.lit(0.0).alias("like"))
+    left = rows.join(neighbor_sets(edges), "id", "left").select("query_id", "id", "score", "relevance", F.coalesce(F.col("neighbors").cast("array<string>"), none).alias("neighbors"), F.lit(0.0).alias("like"))
     picks = None
     for rank in range(1, k + 1):
         left = cut(left) if cut else left
-        mmr = (1 - share) * F.col("relevance") - share * F.col("like")
+        mmr = F.round((1 - share) * F.col("relevance") - share * F.col("like"), 9)
         best = left.withColumn("mmr", mmr).groupBy("query_id").agg(F.min_by(F.struct("id", "score", "mmr", "neighbors"), F.struct(-F.col("mmr"), "id")).alias("b"))
         best = cut(best) if cut else best
         pick = best.select("query_id", F.lit(rank).alias("rank"), "b.id", "b.score", "b.mmr")

@@ -23,18 +23,39 @@ LINKS = f"""e AS (SELECT source_id, target_id, axis, weight * {FACTOR} * {E_FRES
     near AS (SELECT b.id, b.nb, b.axis, b.s * n.ready * n.fresh * CASE WHEN n.domain = 'Brand#1' THEN 13e-1 ELSE 1 END AS s FROM both_ways b JOIN nodes n ON n.id = b.nb)"""
 
 
-def _step(d: int) -> str:
+def _step(d: int, boost: str = "") -> str:
     """One synchronous step of spreading, from frontier f{d} and state a{d}."""
-    return f"""m{d} AS (SELECT f.query_id, near.nb AS id, near.axis, f.a * near.s * {0.6 ** (d + 1)!r}::DOUBLE AS raw, fl.floor FROM f{d} f JOIN near ON near.id = f.id JOIN floors fl ON fl.query_id = f.query_id WHERE f.a >= 1e-2),
+    return f"""m{d} AS (SELECT f.query_id, near.nb AS id, near.axis, f.a * near.s * {0.6 ** (d + 1)!r}::DOUBLE{boost} AS raw, fl.floor FROM f{d} f JOIN near ON near.id = f.id JOIN floors fl ON fl.query_id = f.query_id WHERE f.a >= 1e-2),
     i{d} AS (SELECT query_id, id, max(raw) * 6e-1 AS inh FROM m{d} WHERE axis = 'negative' AND raw * 6e-1 >= 1e-2 GROUP BY 1, 2),
     g{d} AS (SELECT query_id, id, max(v) AS m FROM (SELECT query_id, id, CASE WHEN raw > 0 AND raw < floor THEN floor ELSE raw END AS v FROM m{d} WHERE axis <> 'negative') WHERE v >= 1e-2 GROUP BY 1, 2),
     a{d + 1} AS (SELECT coalesce(a.query_id, g.query_id) AS query_id, coalesce(a.id, g.id) AS id, CASE WHEN coalesce(g.m, 0) > coalesce(a.a, 0) THEN g.m ELSE a.a END AS a, coalesce(g.m, 0) > coalesce(a.a, 0) AS better FROM a{d} a FULL JOIN g{d} g ON a.query_id = g.query_id AND a.id = g.id),
     f{d + 1} AS (SELECT query_id, id, a FROM a{d + 1} WHERE better)"""
 
 
-ACTIVE = f"""{NODES}, {LINKS}, a0 AS (SELECT s.query_id, s.id, CASE WHEN n.domain = 'Brand#1' THEN least(1e0, n.confidence * 13e-1) ELSE n.confidence END AS a, true AS better FROM {{seeds}} s JOIN nodes n ON n.id = s.id), f0 AS (SELECT query_id, id, a FROM a0),
-    floors AS (SELECT query_id, max(a) * 3e-2 AS floor FROM a0 GROUP BY 1), {_step(0)}, {_step(1)}, inh AS (SELECT query_id, id, max(inh) AS inh FROM (SELECT * FROM i0 UNION ALL SELECT * FROM i1) GROUP BY 1, 2),
+NET = """inh AS (SELECT query_id, id, max(inh) AS inh FROM (SELECT * FROM i0 UNION ALL SELECT * FROM i1) GROUP BY 1, 2),
     net AS (SELECT a2.query_id, a2.id, a2.a AS activation, coalesce(inh, 0) AS inhibition, a2.a - coalesce(inh, 0) AS score FROM a2 LEFT JOIN inh ON inh.query_id = a2.query_id AND inh.id = a2.id WHERE a2.a - coalesce(inh, 0) > 1e-2)"""
+ACTIVE = f"""{NODES}, {LINKS}, a0 AS (SELECT s.query_id, s.id, CASE WHEN n.domain = 'Brand#1' THEN least(1e0, n.confidence * 13e-1) ELSE n.confidence END AS a, true AS better FROM {{seeds}} s JOIN nodes n ON n.id = s.id), f0 AS (SELECT query_id, id, a FROM a0),
+    floors AS (SELECT query_id, max(a) * 3e-2 AS floor FROM a0 GROUP BY 1), {_step(0)}, {_step(1)}, {NET}"""
+# With tasks: a concept has those in which it was seen six times or more, an edge the ones that its ends share, a query its order's priority.
+TASKED = f"""{NODES}, tk AS (SELECT id, label FROM {{colors}} WHERE strength >= 3e-1), qt AS (SELECT concat('q', CAST(o_orderkey AS VARCHAR)) AS query_id, o_orderpriority AS task FROM orders WHERE o_orderkey % 20 = 0),
+    e AS (SELECT source_id, target_id, axis, weight * {FACTOR} * {E_FRESH} AS s FROM {{edges}}), both_ways AS (SELECT source_id AS id, target_id AS nb, axis, s FROM e UNION ALL SELECT target_id, source_id, axis, s FROM e),
+    near AS (SELECT b.id, b.nb, b.axis, b.s * n.ready * n.fresh * CASE WHEN n.domain = 'Brand#1' THEN 13e-1 ELSE 1 END AS s FROM both_ways b JOIN nodes n ON n.id = b.nb),
+    a0 AS (SELECT s.query_id, s.id, CASE WHEN n.domain = 'Brand#1' THEN least(1e0, c * 13e-1) ELSE c END AS a, true AS better FROM (SELECT s.query_id, s.id, CASE WHEN t.id IS NULL THEN n.confidence ELSE least(1e0, n.confidence * 15e-1) END AS c FROM {{seeds}} s JOIN nodes n ON n.id = s.id JOIN qt ON qt.query_id = s.query_id LEFT JOIN tk t ON t.id = s.id AND t.label = qt.task) s JOIN nodes n ON n.id = s.id),
+    f0 AS (SELECT query_id, id, a FROM a0), floors AS (SELECT query_id, max(a) * 3e-2 AS floor, min(task) AS task FROM a0 JOIN qt USING (query_id) GROUP BY 1), {_step(0, " * CASE WHEN (near.nb, fl.task) IN (SELECT (id, label) FROM tk) THEN 15e-1 ELSE 1 END")}, {_step(1, " * CASE WHEN (near.nb, fl.task) IN (SELECT (id, label) FROM tk) THEN 15e-1 ELSE 1 END")}, {NET}"""
+
+
+def _mmr(k: int, source: str = "net", task: bool = False) -> str:
+    """The greedy selection with its k rounds written out."""
+    fits = "CASE WHEN t.id IS NULL THEN 6e-1 ELSE 1 END" if task else "1"
+    tasked = "JOIN qt ON qt.query_id = n.query_id LEFT JOIN tk t ON t.id = n.id AND t.label = qt.task" if task else ""
+    like = "CASE WHEN len(l.n) + len(p.n) = 0 THEN 0 ELSE len(list_intersect(l.n, p.n))::DOUBLE / len(list_distinct(l.n || p.n)) END"
+    out = f"""nbs AS (SELECT id, list(DISTINCT nb) AS n FROM both_ways GROUP BY 1), tops AS (SELECT query_id, max(score) AS top FROM {source} GROUP BY 1),
+        l1 AS (SELECT n.query_id, n.id, n.score, n.score / CASE WHEN top = 0 THEN 1 ELSE top END * {fits} * (7e-1 + 3e-1 * coalesce(c.fresh, 1)) AS rel, coalesce(b.n, []) AS n, 0e0 AS sim
+            FROM {source} n JOIN tops USING (query_id) LEFT JOIN nodes c ON c.id = n.id LEFT JOIN nbs b ON b.id = n.id {tasked})"""
+    for r in range(1, k + 1):
+        out += f""", p{r} AS (SELECT query_id, {r} AS rank, id, score, mmr, n FROM (SELECT *, round(7e-1 * rel - 3e-1 * sim, 9) AS mmr FROM l{r}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mmr DESC, id) = 1),
+        l{r + 1} AS (SELECT l.query_id, l.id, l.score, l.rel, l.n, greatest(l.sim, {like}) AS sim FROM l{r} l JOIN p{r} p ON p.query_id = l.query_id AND p.id <> l.id)"""
+    return out + ", picks AS (" + " UNION ALL ".join(f"SELECT query_id, rank, id, score, mmr FROM p{r}" for r in range(1, k + 1)) + ")"
 
 
 def _queries(t: Inputs) -> DataFrame:
@@ -75,7 +96,31 @@ def _selected(t: Inputs, k: int = 6) -> DataFrame:
     return G.select_mmr(cut(_active(t)), _queries(t), t.concepts, t.edges, as_of(), k=k, cut=cut)
 
 
-@query("f04_select_mmr")
+def _for_tasks(t: Inputs) -> tuple:
+    """(queries, concepts, edges) with tasks: see TASKED."""
+    queries = t.orders.where("o_orderkey % 20 = 0").select(F.concat(F.lit("q"), "o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("task"), F.array(F.lit("Brand#1")).alias("active_domains"))
+    tasks = t.colors.where("strength >= 0.3").groupBy("id").agg(F.collect_set("label").alias("tasks"))
+    shared = lambda a, b: F.array_intersect(a, b)
+    ends = t.edges.join(tasks.toDF("source_id", "_a"), "source_id", "left").join(tasks.toDF("target_id", "_b"), "target_id", "left")
+    return queries, t.concepts.join(tasks, "id", "left"), ends.withColumn("tasks", shared("_a", "_b")).drop("_a", "_b")
+
+
+@query("f01_activate_for_task", "WITH " + TASKED + f" SELECT query_id, id, {ROUND} FROM net")
+def activate_for_task(t: Inputs):
+    """Activation with the order's priority as the task: what was seen in it is boosted."""
+    out = G.activate(t.seeds, *_for_tasks(t), as_of())
+    return out.select("query_id", "id", *[F.round(c, 4).alias(c) for c in ("activation", "inhibition", "score")])
+
+
+@query("f04_select_for_task", "WITH " + TASKED + ", " + _mmr(4, task=True) + " SELECT query_id, rank, id, round(mmr, 5) AS mmr FROM picks")
+def select_for_task(t: Inputs):
+    cut = checkpointed(t.spark)
+    queries, concepts, edges = _for_tasks(t)
+    scores = cut(G.activate(t.seeds, queries, concepts, edges, as_of()))
+    return G.select_mmr(scores, queries, concepts, edges, as_of(), k=4, cut=cut).select("query_id", "rank", "id", F.round("mmr", 5).alias("mmr"))
+
+
+@query("f04_select_mmr", "WITH " + ACTIVE + ", " + _mmr(6) + " SELECT query_id, rank, id, round(score, 6) AS score, round(mmr, 6) AS mmr FROM picks")
 def mmr(t: Inputs):
     return _selected(t).select("query_id", "rank", "id", F.round("score", 6).alias("score"), F.round("mmr", 6).alias("mmr"))
 
