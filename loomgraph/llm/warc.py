@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow, scratch, small_side
+from .common import BROADCAST_ROWS, cut, in_arrow, looked_up, scratch, small_side
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 32 << 20
@@ -73,18 +73,22 @@ def _base32(h) -> str:  # noqa: ANN001
     return base64.b32encode(h.digest()).decode()
 
 
-def with_references(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+def with_references(pages: DataFrame, id_col: str, payload_col: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """(id, url?, payload, refers_to): refers_to is the largest id among equal payloads, null on the response itself.
 
-    Payloads meet as digests; only where a payload repeats is a row looked up, and payloads move only if
-    the table of repeated digests is too large to broadcast.
+    Payloads meet as digests; only where a payload repeats is a row looked up. If the table of repeated digests is too large to broadcast, ids
+    and digests find out which rows revisit another, and only rows that a filter of those can't rule out move, each by its own id and digest.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    digest = F.sha1(payload)
-    seen = pages.select(digest.alias("d"), F.col(id_col).alias("i")).groupBy("d").agg(F.max("i").alias("top"), F.count("*").alias("n"))
-    seen = cut(seen.where("n > 1").select("d", "top"))
-    out = pages.withColumn("_d", digest).join(small_side(seen, seen.count()), F.col("_d") == F.col("d"), "left")
-    return out.withColumn("_refers", F.when(F.col("top") != F.coalesce(F.col(id_col), F.col("top") - 1), F.col("top")))
+    own = pages.withColumn("_d", F.sha1(payload))
+    seen = own.groupBy("_d").agg(F.max(id_col).alias("top"), F.count("*").alias("n"))
+    seen = cut(seen.where("n > 1").select(F.col("_d").alias("d"), "top"))
+    again = F.when(F.col("top") != F.coalesce(F.col(id_col), F.col("top") - 1), F.col("top"))
+    if (n := seen.count()) <= most:
+        return own.join(small_side(seen, n), F.col("_d") == F.col("d"), "left").withColumn("_refers", again)
+    own = own.withColumn("_k", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_d"))
+    found = own.select(id_col, "_d", "_k").join(seen, F.col("_d") == F.col("d")).select("_k", again.alias("_refers"))
+    return looked_up(own, cut(found.where("_refers is not null").distinct()), ["_k"], most)
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -94,15 +98,16 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _open(folder)
-        part, done = TaskContext.get().partitionId(), []
+        part, attempt, done = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), []
         out, name, size, count = None, "", 0, 0
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                final = f"{at}/part-{part:05d}-{len(done):04d}.warc.gz"
-                fs.move(name, final)  # a repeated attempt writes the same records under the same name
+                # Each attempt has names of its own: a late or repeated one can't overwrite what another has reported.
+                final = f"{at}/part-{part:05d}-{attempt}-{len(done):04d}.warc.gz"
+                fs.move(name, final)
                 done.append((f"{folder}/{os.path.basename(final)}", count, size))
                 out = None
 

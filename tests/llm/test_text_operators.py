@@ -305,6 +305,13 @@ def test_warc(spark):
     assert warc.read(warc.write(spark.createDataFrame([], schema), warc.new_folder(spark))).count() == 0
 
 
+def test_warc_references_without_a_broadcast(spark):
+    data = [(k, t) for k, t in enumerate(["a", "a", "b", "", None, "c", "", "a"])] + [(None, "a"), (None, "z"), (7, "a"), (2, "a")]
+    pages = spark.createDataFrame(data, "i long, p string").repartition(3)
+    told = lambda most: sorted(((r.i, r.p, r._refers) for r in warc.with_references(pages, "i", "p", most).collect()), key=repr)
+    assert told(0) == told(100) and (0, "a", 7) in told(0) and (7, "a", None) in told(0) and (None, "a", 7) in told(0)
+
+
 def test_warc_reader_rejects_damage():
     import io
 
