@@ -32,7 +32,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import checkpointed, small_side
 from .decontam import text_key
 
 # Notices, standard headers and texts by which licences are known, as (licence, text).
@@ -163,7 +163,7 @@ def own_licenses(texts: DataFrame, threshold: float = THRESHOLD, templates: list
     texts = texts.withColumn("t", F.translate("t", UPPER, LOWER))
     n = texts.count()
     words = texts.select(F.explode(F.array_distinct(_words(F.col("t")))).alias("term"))
-    frequency = cut(words.groupBy("term").agg(F.count("*").alias("df")))  # one row for each word of the corpus
+    frequency = checkpointed(words.groupBy("term").agg(F.count("*").alias("df")))  # one row for each word of the corpus
     vocabulary = sorted({w for _, t in templates for w in tokens_of(t)})
     df = {r.term: r.df for r in frequency.where(F.col("term").isin(vocabulary)).collect()}
     made = Templates(templates, df, n, threshold)
@@ -175,16 +175,16 @@ def own_licenses(texts: DataFrame, threshold: float = THRESHOLD, templates: list
     # A word weighs tf at least and tf times the largest idf at most, so a unit with too many words of no template stays below the threshold.
     known = F.size(F.filter("words", lambda w: w.isin(vocabulary)))
     near = near.where(F.size("words") - known <= known * known * F.lit((log(n + 1) + 1) ** 2 * (1 / threshold**2 - 1)))
-    near = cut(near.select("k1", "k2", F.xxhash64("words").alias("u1"), F.xxhash64(F.lit(1), "words").alias("u2"), "words"))
+    near = checkpointed(near.select("k1", "k2", F.xxhash64("words").alias("u1"), F.xxhash64(F.lit(1), "words").alias("u2"), "words"))
     different = near.dropDuplicates(["u1", "u2"]).select("u1", "u2", F.explode("words").alias("term")).groupBy("u1", "u2", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
-    vectors = cut(different.join(frequency, "term", "left").select("u1", "u2", "term", weight.alias("u")))
+    vectors = checkpointed(different.join(frequency, "term", "left").select("u1", "u2", "term", weight.alias("u")))
     length = vectors.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("length"))
     dot = vectors.join(F.broadcast(terms), "term").groupBy("u1", "u2", "template", "number").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     # A sum's last digits depend on its order: rounding keeps ties and the threshold the same everywhere.
     cosine = dot.join(length, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("length"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
     best = F.min_by(F.struct("template", "cosine"), F.struct(-F.col("cosine"), "template"))
-    scored = cut(cosine.groupBy("u1", "u2").agg(best.alias("b")))
+    scored = checkpointed(cosine.groupBy("u1", "u2").agg(best.alias("b")))
     hit = near.select("k1", "k2", "u1", "u2").join(small_side(scored, scored.count()), ["u1", "u2"]).select("k1", "k2", "b.template", "b.cosine")
     return hit.groupBy("k1", "k2").agg(best.alias("b")).select("k1", "k2", F.col("b.template").alias("own"), F.col("b.cosine").alias("own_score"))
 
@@ -202,10 +202,10 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, is_license
     path = F.coalesce(files[path_col], F.lit(""))
     notice = F.coalesce(path.rlike(FILE_NAME) if is_license_file is None else is_license_file, F.lit(False))
     texts = files.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(files[text_col], F.lit("")).alias("t"))
-    own = cut(own_licenses(texts, threshold, templates))
+    own = checkpointed(own_licenses(texts, threshold, templates))
     narrow = files.select(files[id_col].alias(id_col), path.alias("path"), notice.alias("notice"), k1.alias("k1"), k2.alias("k2"))
     rows = narrow.join(small_side(own, own.count()), ["k1", "k2"], "left").withColumn("dir", _parent(F.col("path")))
-    rows = cut(rows.drop("k1", "k2"))
+    rows = checkpointed(rows.drop("k1", "k2"))
 
     best = F.min_by("own", F.struct(-F.col("own_score"), "own"))
     spoken = rows.where(F.col("notice") & F.col("own").isNotNull()).groupBy("dir").agg(best.alias("dir_license"))
@@ -214,7 +214,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, is_license
     above = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth"))
     above = above.select("dir", "depth", F.array_join(F.slice(parts, 1, F.col("depth")), "/").alias("above"))
     nearest = above.join(spoken.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("dir_license", "above"), "depth").alias("near"))
-    nearest = cut(nearest.select(F.col("dir").alias("d"), "near"))
+    nearest = checkpointed(nearest.select(F.col("dir").alias("d"), "near"))
     out = rows.join(small_side(nearest, nearest.count()), F.col("dir") == F.col("d"), "left")
     found = F.when(F.col("own").isNotNull(), F.when(F.col("notice"), "file").otherwise("header")).when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select(
