@@ -182,5 +182,32 @@ def classify_failure(text: Column, context: Column) -> Column:
     return F.coalesce(*[F.when(when, name) for when, name in rules], F.lit("unknown"))
 
 
+# What helps against each class of failure; the others have nothing.
+RECOVERY = {
+    "llm_error": ["retry_same_operation"],
+    "provider_auth": ["reconfigure_provider"],
+    "provider_rate_limit": ["retry_same_operation"],
+    "provider_unavailable": ["retry_same_operation"],
+    "tool_runtime": ["retry_same_operation"],
+    "mcp_unavailable": ["check_mcp_servers"],
+    "search_fetch_failed": ["retry_without_focus", "retry_without_domains"],
+    "session_corrupt": ["start_new_session"],
+    "tool_round_limit": ["manual_compact"],
+}
+
+
+def recovery_actions(failure: Column) -> Column:
+    """An array of what to do about a class of failure, the first thing first; empty for none, unknown and null."""
+    known = F.create_map(*[x for name, actions in RECOVERY.items() for x in (F.lit(name), F.array(*map(F.lit, actions)))])
+    return F.coalesce(F.element_at(known, failure), F.array().cast("array<string>"))
+
+
+def time_ago(at: Column, now: Column) -> Column:
+    """How long ago `at` was: minutes below an hour, hours below a day, else days, rounded down; null without a time."""
+    minutes = F.floor((F.unix_micros(now) - F.unix_micros(at)) / F.lit(60_000_000))
+    text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 60, text(minutes, "m")).when(minutes < 1440, text(minutes / 60, "h")).otherwise(text(minutes / 1440, "d"))
+
+
 def is_retryable(failure: Column) -> Column:
     return failure.isin("llm_error", "provider_rate_limit", "provider_unavailable", "tool_runtime", "mcp_unavailable", "search_fetch_failed")

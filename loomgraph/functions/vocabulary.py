@@ -61,6 +61,13 @@ ALIASES = {
 # How strongly each axis passes activation on.
 AXIS_FACTOR = {"positive": 1.0, "parallel": 0.75, "negative": 0.60}
 
+# What each axis is about.
+AXIS_DESCRIPTIONS = {
+    "positive": ["trust", "co-creation", "future coupling", "mutual reinforcement"],
+    "negative": ["conflict", "incompatible ontology", "instability", "adversarial prediction"],
+    "parallel": ["mutual understanding", "deep conceptual overlap", "recursive co-modeling", "persistent attention allocation"],
+}
+
 _AXIS = {name: axis for name, axis, _, _ in SPECS}
 #: Labels that name an axis: the aliases, and the canonical relations that were labels of their own before.
 AXIS_LABELS = {a: _AXIS[r] for a, r in ALIASES.items()} | {
@@ -100,6 +107,19 @@ def relation_specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SPECS, "relation string, axis string, structural double, propagation double")
 
 
+def relation_names(axis: Column | None = None) -> Column:
+    """The canonical relations in alphabetical order: all, or those of the axis that a label stands for."""
+    sorted_names = lambda of: F.array(*[F.lit(name) for name in sorted(_AXIS) if of in (None, _AXIS[name])])
+    if axis is None:
+        return sorted_names(None)
+    return F.element_at(F.create_map(*[x for a in AXIS_DESCRIPTIONS for x in (F.lit(a), sorted_names(a))]), normalize_axis(axis))
+
+
+def axis_descriptions(axis: Column) -> Column:
+    """What the axis that a label stands for is about."""
+    return F.element_at(F.create_map(*[x for a, words in AXIS_DESCRIPTIONS.items() for x in (F.lit(a), F.array(*map(F.lit, words)))]), normalize_axis(axis))
+
+
 def with_spec(df: DataFrame, label: str) -> DataFrame:
     """df with relation, axis, structural and propagation of its label."""
     specs = F.broadcast(relation_specs(df.sparkSession))

@@ -5,10 +5,10 @@ messages: conv_id, turn, role, text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import STOPWORDS, excerpt, keyword_seeds
+from ..functions.scalars import STOPWORDS, excerpt, keyword_seeds, time_ago
 
 
 def in_order() -> WindowSpec:
@@ -61,15 +61,21 @@ def session_context(messages: DataFrame, summaries: DataFrame | None = None, mos
     return head.union(recent)
 
 
-def list_sessions(messages: DataFrame, compacted: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
-    """(conv_id, n, last_turn, last_role, state): the longest sessions first; limit is the listing's length, None for all of them."""
-    out = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
+def list_sessions(messages: DataFrame, compacted: DataFrame | None = None, limit: int | None = 20, now: Column | None = None) -> DataFrame:
+    """(conv_id, n, last_turn, last_role, state): the longest sessions first; limit is the listing's length, None for all of them.
+
+    With `now` messages have a time ts: also (updated_at, age), the newest sessions first, those without a time last.
+    """
+    timed = [F.max("ts").alias("updated_at")] if now is not None else []
+    out = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), *timed)
     state = F.when(F.col("last_role") == "user", "attention_needed").otherwise("active")
     if compacted is not None:
         out = out.join(compacted.select("conv_id", F.lit(True).alias("_c")), "conv_id", "left")
         state = F.when(F.col("last_role") == "user", "attention_needed").when(F.col("_c"), "compacted").otherwise("active")
-    out = out.select("conv_id", "n", "last_turn", "last_role", state.alias("state"))
-    return out if limit is None else out.orderBy(F.desc("n"), "conv_id").limit(limit)
+    shown = [] if now is None else ["updated_at", time_ago(F.col("updated_at"), now).alias("age")]
+    out = out.select("conv_id", "n", "last_turn", "last_role", state.alias("state"), *shown)
+    first = F.desc("n") if now is None else F.desc_nulls_last("updated_at")
+    return out if limit is None else out.orderBy(first, "conv_id").limit(limit)
 
 
 def paired_turns(messages: DataFrame) -> DataFrame:

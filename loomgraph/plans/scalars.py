@@ -89,6 +89,22 @@ def known(t: Inputs):
     return _labels(t).groupBy(V.is_known_label(F.col("label")).alias("known")).agg(F.count("*").alias("n"))
 
 
+def _listed(of: dict[str, list[str]]) -> str:
+    return "CASE axis " + " ".join(f"WHEN '{a}' THEN [{', '.join(repr(x) for x in xs)}]" for a, xs in of.items()) + " END"
+
+
+@query(
+    "b08_relation_listings",
+    f"""SELECT label, axis, n, {_listed({a: sorted(s[0] for s in V.SPECS if s[1] == a) for a in V.AXIS_DESCRIPTIONS})} AS relations, {_listed(V.AXIS_DESCRIPTIONS)} AS about
+        FROM (SELECT label, CASE {KEY} {AXIS} ELSE 'parallel' END AS axis, count(*) AS n FROM {ALL_LABELS} GROUP BY ALL)""",
+)
+def listings(t: Inputs):
+    """Every label with its axis, the relations that the axis has, and what it is about."""
+    n = _labels(t).groupBy("label").agg(F.count("*").alias("n"))
+    label = F.col("label")
+    return n.select("label", V.normalize_axis(label).alias("axis"), "n", V.relation_names(label).alias("relations"), V.axis_descriptions(label).alias("about"))
+
+
 @query(
     "b09_temporal_relevance",
     """SELECT id, round(greatest(0.1::DOUBLE, pow(0.5::DOUBLE, epoch_us(TIMESTAMP '2002-01-01' - last_activated) / 3.6e9 / 168)), 6) AS freshness FROM (SELECT id, last_activated FROM {concepts})""",
@@ -189,6 +205,28 @@ def failures(t: Inputs):
     return f.groupBy("failure", S.is_retryable(F.col("failure")).alias("retryable")).agg(F.count("*").alias("n"))
 
 
+MESSAGES = ["MCP server is gone", "Rate limit reached", "HTTP 401", "Connection timed out", "Chat failed: empty", "no such file"]
+CONTEXTS = ["session", "mcp", "llm", "search", "tool", "operation"]
+
+
+@query(
+    "b21_recovery_actions",
+    f"""WITH m AS (SELECT user_id % 10 AS team, {MESSAGES}[event_id % 6 + 1] || ' for u' || user_id AS text, {CONTEXTS}[event_id // 6 % 6 + 1] AS place FROM events),
+        f AS (SELECT team, CASE WHEN place = 'session' THEN 'session_corrupt' WHEN place = 'mcp' OR text LIKE 'MCP%' THEN 'mcp_unavailable' WHEN text LIKE 'Rate%' THEN 'provider_rate_limit' WHEN text LIKE 'HTTP 401%' THEN 'provider_auth'
+            WHEN text LIKE 'Conn%' THEN CASE place WHEN 'llm' THEN 'provider_unavailable' ELSE 'search_fetch_failed' END WHEN place = 'search' THEN 'search_fetch_failed' WHEN text LIKE 'Chat%' THEN 'llm_error' WHEN place = 'tool' THEN 'tool_runtime' ELSE 'unknown' END AS failure FROM m)
+        SELECT team, failure, count(*) AS n, failure NOT IN ('session_corrupt', 'provider_auth', 'unknown') AS retryable,
+            CASE failure WHEN 'session_corrupt' THEN ['start_new_session'] WHEN 'mcp_unavailable' THEN ['check_mcp_servers'] WHEN 'provider_auth' THEN ['reconfigure_provider']
+                WHEN 'search_fetch_failed' THEN ['retry_without_focus', 'retry_without_domains'] WHEN 'unknown' THEN []::VARCHAR[] ELSE ['retry_same_operation'] END AS actions FROM f GROUP BY 1, 2""",
+)
+def recovery(t: Inputs):
+    """Every event as a failed operation, in one of six places with one of six messages: what failed in each team, and what to do about it."""
+    pick = lambda of, n: F.element_at(F.array(*map(F.lit, of)), (n % len(of) + 1).cast("int"))
+    text = F.concat(pick(MESSAGES, F.col("event_id")), F.lit(" for u"), "user_id")
+    f = t.events.select((F.col("user_id") % 10).alias("team"), S.classify_failure(text, pick(CONTEXTS, F.floor(F.col("event_id") / 6))).alias("failure"))
+    failure = F.col("failure")
+    return f.groupBy("team", "failure").agg(F.count("*").alias("n")).select("team", "failure", "n", S.is_retryable(failure).alias("retryable"), S.recovery_actions(failure).alias("actions"))
+
+
 @query("b22_slugify", "SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def slug(t: Inputs):
     return t.part.select("p_partkey", S.slugify(F.col("p_type")).alias("slug"))

@@ -26,6 +26,14 @@ def record(t: Inputs):
     return _sources(t).select("id", "content_hash", "source", "task")
 
 
+@query("a04_insert_sources", f"WITH {SOURCE} SELECT id, source = 'src0' AS known FROM src")
+def insert(t: Inputs):
+    """All texts onto a table that has those of one source: known ones stay as they are."""
+    texts = t.documents.select(F.col("text").alias("raw_text"), "source", F.col("lang").alias("task"))
+    stored = T.record_sources(texts.where("source = 'src0'")).withColumn("known", F.lit(True))
+    return T.insert_sources(stored, texts).select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query("a05_attach_extraction", f"WITH {SOURCE} SELECT id, CASE WHEN source = 'src0' THEN NULL ELSE [task, source] END AS concepts, CASE WHEN source = 'src0' THEN NULL ELSE 2 END AS relation_count FROM src")
 def attach(t: Inputs):
     s = _sources(t)
@@ -194,6 +202,21 @@ def listing(t: Inputs):
     return D.list_sessions(t.conversations)
 
 
+SENT = "m AS (SELECT c.conv_id, turn, role, ts FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id * 10 + c.turn)"
+
+
+@query("e09_newest_sessions", f"""WITH {SENT}, s AS (SELECT conv_id, count(*) AS n, max(turn) AS last_turn, arg_max(role, turn) AS last_role, max(ts) AS updated_at FROM m GROUP BY 1),
+    a AS (SELECT *, (epoch_us((SELECT max(ts) FROM m)) - epoch_us(updated_at)) // 60000000 AS past FROM s)
+    SELECT conv_id, n, last_turn, last_role, CASE WHEN last_role = 'user' THEN 'attention_needed' ELSE 'active' END AS state, updated_at,
+        CASE WHEN past < 60 THEN past || 'm ago' WHEN past < 1440 THEN past // 60 || 'h ago' ELSE past // 1440 || 'd ago' END AS age FROM a ORDER BY updated_at DESC NULLS LAST, conv_id LIMIT 50""")
+def newest(t: Inputs):
+    """Messages sent at the times of events: the newest sessions first, with their age at the last message."""
+    sent = t.events.select(F.col("event_id").alias("_at"), F.col("ts").cast("timestamp").alias("ts"))
+    messages = t.conversations.withColumn("_at", F.col("conv_id") * 10 + F.col("turn")).join(sent, "_at", "left")
+    out = D.list_sessions(messages, None, 50, F.lit(messages.agg(F.max("ts")).first()[0]))
+    return out.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
 @query("e10_batch_turns", r"""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS batch FROM p WHERE role = 'user' AND r2 = 'assistant')
     SELECT conv_id, batch, count(*) AS turns FROM t GROUP BY 1, 2 HAVING count(*) = 2""")
 def batches(t: Inputs):
@@ -217,6 +240,29 @@ def activity(t: Inputs):
     return I.activity(t.evidence).select("concept", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
+@query("i05_sliding_windows", """SELECT concept, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start, count(*) AS n FROM {evidence}, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1, 2""")
+def sliding(t: Inputs):
+    """A day's activity, every six hours."""
+    return I.activity(t.evidence, slide="6 hours").select("concept", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("i05_sessions", """WITH g AS (SELECT concept, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS new FROM {evidence} WINDOW w AS (PARTITION BY concept ORDER BY ts)),
+    s AS (SELECT concept, ts, sum(new::INT) OVER (PARTITION BY concept ORDER BY ts) AS s FROM g) SELECT concept AS source, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS until, count(*) AS n FROM s GROUP BY concept, s""")
+def user_sessions(t: Inputs):
+    """Each user's events without a pause of more than six hours."""
+    own = t.evidence.select(F.col("concept").alias("source"), "ts")
+    w = lambda c: F.col(f"session_window.{c}").cast("timestamp_ntz")
+    return I.sessions(own, "6 hours").select("source", w("start").alias("start"), w("end").alias("until"), "n")
+
+
+@query("i04_dedupe_sources", f"WITH {SOURCE} SELECT id FROM src")
+def stream_dedupe(t: Inputs):
+    """The documents as a stream, within one hour: each source once."""
+    docs = I.table_stream(t.spark, t.sf_dir, "documents")
+    texts = docs.select(F.col("text").alias("raw_text"), "source", F.col("lang").alias("task"), F.timestamp_seconds(F.col("doc_id") % 3600 + 1_700_000_000).alias("ts"))
+    return I.collected(I.dedupe_sources(texts), "append").select("id")
+
+
 @query("i01_stream_evidence", "SELECT concept, count(*) FILTER (kind = 'activate') AS activation_count, count(*) FILTER (kind = 'weaken') AS disconfirmation_count FROM {evidence} GROUP BY 1")
 def stream(t: Inputs):
     """The events table as a stream: micro-batches fold into a table of counts that is written anew with each batch."""

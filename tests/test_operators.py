@@ -16,6 +16,7 @@ from loomgraph.operators import evidence as E
 from loomgraph.operators import graph as G
 from loomgraph.operators import metrics as Q
 from loomgraph.operators import resolve as R
+from loomgraph.operators import sessions as D
 from loomgraph.scratch import checkpointed
 from loomgraph.sources import tables as T
 from loomgraph.sources.store import Store
@@ -299,3 +300,33 @@ def test_relations_of_a_long_order(spark):
     rows = [r for r in P.ingest_edges(t).collect() if r.is_explicit]
     assert len(rows) == n - 2
     assert {frozenset((name[r.source_id], name[r.target_id])) for r in rows} == {frozenset((f"part {k - 1}", f"part {k}")) for k in range(1, n) if k != back}
+
+
+def test_recovery_actions(spark):
+    rows = spark.createDataFrame([("search_fetch_failed",), ("tool_round_limit",), ("unknown",), ("none",), (None,)], "f string")
+    assert [r[0] for r in rows.select(S.recovery_actions(F.col("f"))).collect()] == [["retry_without_focus", "retry_without_domains"], ["manual_compact"], [], [], []]
+
+
+def test_relation_listings(spark):
+    rows = spark.createDataFrame([("conflict",), ("unheard",), (None,)], "l string")
+    names, about, every = zip(*rows.select(V.relation_names(F.col("l")), V.axis_descriptions(F.col("l")), V.relation_names()).collect(), strict=True)
+    of = lambda axis: sorted(s[0] for s in V.SPECS if s[1] == axis)
+    assert list(names) == [of("negative"), of("parallel"), of("parallel")] and about[0] == V.AXIS_DESCRIPTIONS["negative"] and about[2] == V.AXIS_DESCRIPTIONS["parallel"]
+    assert every[0] == sorted(s[0] for s in V.SPECS)
+
+
+def test_newest_sessions(spark):
+    """Ages are rounded down at each border; sessions without a time come last, ties by conv_id."""
+    ago = [(1, timedelta(minutes=59, seconds=59)), (2, timedelta(minutes=60)), (3, timedelta(hours=23, minutes=59)), (4, timedelta(days=1)), (6, None), (5, timedelta(days=1)), (7, timedelta(0))]
+    rows = [(c, 0, "user", NOW - d if d is not None else None) for c, d in ago] + [(4, 1, "assistant", NOW - timedelta(days=9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, ts timestamp")
+    out = D.list_sessions(df, None, 6, F.lit(NOW)).collect()
+    assert [(r.conv_id, r.age) for r in out] == [(7, "0m ago"), (1, "59m ago"), (2, "1h ago"), (3, "23h ago"), (4, "1d ago"), (5, "1d ago")]
+    assert {r.conv_id: (r.age, r.updated_at) for r in D.list_sessions(df, None, None, F.lit(NOW)).collect()}[6] == (None, None)
+    assert D.list_sessions(df.limit(0), None, 6, F.lit(NOW)).collect() == []
+
+
+def test_sliding_activity(spark):
+    df = spark.createDataFrame([("a", NOW + timedelta(hours=7)), ("a", NOW + timedelta(hours=13)), (None, None)], "concept string, ts timestamp")
+    out = {(r.window.start - NOW, r.n) for r in I.activity(df, "12 hours", slide="6 hours").collect()}
+    assert out == {(timedelta(0), 1), (timedelta(hours=6), 2), (timedelta(hours=12), 1)}
