@@ -58,8 +58,10 @@ def grams(text: str) -> Iterator[np.ndarray]:
         p = points(text[k : k + STEP].lower())
         word = kinds()[p] > 0
         p = np.where(word, p, np.uint32(32))
-        word[1:] |= word[:-1]  # of a run of others, the first one stays
-        p = np.concatenate([last, p[word], np.array([32] * (k + STEP >= len(text)), np.uint32)])
+        keep = word.copy()  # of a run of others, the first one stays, also where the run begins with the piece
+        keep[1:] |= word[:-1]
+        keep[0] |= last[-1] != 32
+        p = np.concatenate([last, p[keep], np.array([32] * (k + STEP >= len(text)), np.uint32)])
         last = p[-2:]
         if len(p) >= 3:
             h = p[:-2].astype(np.uint64) << np.uint64(42)
