@@ -1,11 +1,13 @@
 """The registered queries of the text operators: their columns, the held-out rows, and scores against plain Python."""
 
 import math
+from collections import Counter
 import os
 import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -126,3 +128,36 @@ def test_blocks_are_taken_from_all_of_a_text():
     got = quality.even_blocks(text)
     assert len(got) <= quality.MOST_BLOCKS * quality.BLOCK and got.startswith(text[:100].encode()) and got.endswith(text[-50:].encode())
     assert quality.even_blocks("short") == b"short"
+
+
+@pytest.mark.parametrize("least, most", [(None, None), (0.5, None), (0.5, 500)])
+def test_toxic_features_by_plain_counts(spark, docs, monkeypatch, least, most):
+    """The features that the fit chooses, from counts of texts in plain Python; all labelled texts fit into its sample here, and few of its
+    features tell much, so weaker ones are asked for too, all or the best 500."""
+    monkeypatch.setattr(toxicity, "LEAST_Z", least or toxicity.LEAST_Z)
+    monkeypatch.setattr(toxicity, "FEATURES", most or toxicity.FEATURES)
+    learn, labels = queries.to_learn_from(spark, SF)
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1)}
+    texts = [(y[r.doc_id], r.text or "") for r in learn.select("doc_id", "text").collect() if r.doc_id in y]
+    sizes, seen = Counter(k for k, _ in texts), {0: Counter(), 1: Counter()}
+    assert max(sizes.values()) <= toxicity.PER_CLASS
+    for k, text in texts:
+        low = f" {text.lower()} "
+        grams = {low[i : i + n] for n in toxicity.SIZES for i in range(len(low) - n + 1)}
+        hashed = set()
+        for g in grams:
+            h = 0
+            for c in g:
+                h = (h * 0x100000001B3 + ord(c)) & MASK
+            hashed.add(h * 0x9E3779B97F4A7C15 % (1 << 64) >> 44)
+        seen[k].update(hashed)
+    s, z = toxicity.SMOOTH, {}
+    for b in seen[0].keys() | seen[1].keys():
+        good, bad = seen[0][b] + s, seen[1][b] + s
+        z[b] = abs(math.log(bad / (sizes[1] + 2 * s)) - math.log(good / (sizes[0] + 2 * s))) / math.sqrt(1 / good + 1 / bad)
+    model = toxicity.fit(learn, labels)
+    chosen = np.flatnonzero(model.index >= 0).tolist()
+    ranked = sorted((b for b in z if z[b] >= toxicity.LEAST_Z), key=lambda b: (-z[b], b))[: toxicity.FEATURES]
+    assert len(chosen) == len(ranked) > (100 if least else 0)
+    place = sorted(chosen, key=lambda b: model.index[b])
+    assert np.allclose([z[b] for b in place], [z[b] for b in ranked], atol=1e-9)  # the same but for ties
