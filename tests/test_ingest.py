@@ -183,3 +183,37 @@ def test_candidates_are_resolved(spark):
 def test_empty_ingest(spark):
     world, changes = W.ingest(spark.createDataFrame([], SCHEMA))
     assert world.concepts.count() == world.edges.count() == changes.count() == world.pending.count() == 0
+
+
+def test_keys_that_fit_one_chunk_are_not_dealt_by_ranges(spark, monkeypatch):
+    """Before, all events were sorted by ranges and written once more."""
+    from loomgraph.operators import evidence as E
+
+    rows = [(c, i, i, "weaken" if i % 3 == 0 else "activate") for c, n in (("a", 5), ("b", 40)) for i in range(n)]
+    many = [("c", i, i, "weaken" if i % 3 == 0 else "activate") for i in range(5000)]
+    df = lambda r: spark.createDataFrame(r, "concept string, t long, obs_id long, kind string").selectExpr("concept", "timestamp_seconds(t) AS ts", "obs_id", "kind")
+    told = lambda d: {r.concept: (round(r.confidence, 9), r.activation_count, r.disconfirmation_count, r.last_weakened) for r in E.fold_concepts(d).collect()}
+    both = told(df(rows + many))  # c goes by ranges, a and b don't
+    dealt = []
+    monkeypatch.setattr(E, "in_ranges", lambda *a, **k: dealt.append(a))
+    assert told(df(rows)) == {c: both[c] for c in "ab"} and not dealt
+    x, up, down = 0.15, 0, 0
+    for _, _, _, kind in many:
+        up, down = up + (kind == "activate"), down + (kind == "weaken")
+        x = min(1.0, x + 0.06 / (1 + 0.08 * up)) if kind == "activate" else max(0.01, x - 0.06 / (1 + 0.08 * down))
+    assert both["c"][:3] == (round(x, 9), up, down)
+
+
+def test_only_open_ends_are_looked_up_among_labels(spark, monkeypatch):
+    """Before, every relation was joined with the labels of all concepts, for each end."""
+    from loomgraph.operators import resolve
+    from loomgraph.scratch import checkpointed
+
+    rows = lambda r: spark.createDataFrame(r, "obs_id long, source string, target string")
+    near = spark.createDataFrame([(1, "A", "ia"), (1, "B", "ib"), (2, "A", "other")], "obs_id long, ref string, id string")
+    known = spark.createDataFrame([("ic", "C", [])], "id string, name string, aliases array<string>")
+    told = lambda d, cut: sorted(tuple(r) for r in resolve.resolve_endpoints(d, near, known, cut).collect())
+    some, all_near = rows([(1, "a", "b"), (1, "B ", "c"), (2, "a", "nobody"), (2, "A", "a")]), rows([(1, "a", "b"), (1, "A", "a")])
+    assert told(some, checkpointed(spark)) == told(some, None) == [(1, "B ", "c", "ib", "ic"), (1, "a", "b", "ia", "ib")]
+    monkeypatch.setattr(resolve, "label_index", None)
+    assert told(all_near, checkpointed(spark)) == [(1, "a", "b", "ia", "ib")]
