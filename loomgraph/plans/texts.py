@@ -146,7 +146,7 @@ def observations(t: Inputs):
     SELECT id, domain, replace(lower(id), '#', '-') || '.' || regexp_replace(regexp_replace(lower(domain), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') || '.' || id AS representation, round(confidence, 4) AS confidence, maturity, activation_count, coalesce(connections, 0) AS connections, strftime(last_activated, '%Y-%m-%d %H:%M') AS last_activated,
         domain_strength, profile, tasks, sources FROM {concepts} LEFT JOIN d USING (id) LEFT JOIN p USING (id) LEFT JOIN t USING (id)""")
 def export(t: Inputs):
-    log = t.mentions.select("concept", "task", (F.col("obs_id") % 7).cast("string").alias("source"))
+    log = t.by_concept(t.mentions.select("concept", "task", (F.col("obs_id") % 7).cast("string").alias("source")))
     nodes = B.export_nodes(t.concepts.withColumn("name", F.col("id")), t.edges, t.colors, log)
     shown = F.array_join(F.transform("domain_profile", lambda x: F.concat(x["domain"], F.lit("="), F.format_string("%.4f", x["strength"]))), ";")
     return nodes.select("id", "domain", "representation", "confidence", "maturity", "activation_count", "connections", "last_activated", "domain_strength", shown.alias("profile"), F.array_join("tasks", ";").alias("tasks"), F.array_join("sources", ";").alias("sources"))
