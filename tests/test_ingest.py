@@ -265,3 +265,25 @@ def test_passes_move_numbers(spark, monkeypatch):
     ids = {r.id for r in world.concepts.collect()}
     edges = [(r.source_id, r.target_id) for r in world.edges.collect()]
     assert pairs == ["long"] and len(edges) == 6 and all(a < b and {a, b} <= ids for a, b in edges)
+
+
+def test_keys_of_one_chunk_are_folded_once(spark, monkeypatch):
+    """Before, what came from a key's only chunk was folded again with nothing, and each fold began with a step that does nothing."""
+    from loomgraph.operators import evidence as E
+
+    built, then = [], E._then
+    monkeypatch.setattr(E, "_then", lambda f, g: built.append(1) or then(f, g))
+    rows = lambda n: spark.range(n).selectExpr("'c' AS concept", "timestamp_seconds(id) AS ts", "id AS obs_id", "IF(id % 3 = 0, 'weaken', 'activate') AS kind")
+
+    def folded(n):
+        built.clear()
+        got = E.fold_concepts(rows(n)).first()
+        x, up, down = 0.15, 0, 0
+        for i in range(n):
+            up, down = up + (i % 3 > 0), down + (i % 3 == 0)
+            x = min(1.0, x + 0.06 / (1 + 0.08 * up)) if i % 3 else max(0.01, x - 0.06 / (1 + 0.08 * down))
+        assert (round(got.confidence, 9), got.activation_count, got.disconfirmation_count) == (round(x, 9), up, down)
+        return len(built)
+
+    monkeypatch.setattr(E, "CHUNK_BITS", 3)
+    assert folded(1) == folded(8) == 1 and folded(30) == 2
